@@ -104,8 +104,9 @@ def entity_articles(mapping: DataFrame, entities: DataFrame, articles: DataFrame
     return (
         mapping.withColumnRenamed("known_uri", "entity_uri")
         .withColumnRenamed("newsapi_uri", "source_uri")
-        .join(_entity(entities, "entity"), "entity_uri")
+        # The slim mapping meets the articles first; descriptions of entities join last.
         .join(sources, "source_uri")
+        .join(_entity(entities, "entity"), "entity_uri")
         .select(
             *[f"entity_{c}" for c in ENTITY_COLUMNS],
             *[c for c in sources.columns],
@@ -122,4 +123,4 @@ def article_sentiment(articles: DataFrame, scores: DataFrame) -> DataFrame:
     """
     titles = articles.select("uri", "title").distinct()
     rated = scores.select("uri", "sentiment_score", "sentiment_label").distinct()
-    return titles.join(rated, "uri").distinct()
+    return titles.join(rated, "uri")

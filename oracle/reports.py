@@ -32,18 +32,20 @@ s AS (
 )"""
 
 
-def similar(texts: str) -> str:
-    """CTEs ``cand``, ``dp`` and ``sim``: all pairs of ``texts(text)`` at threshold 80.
+def similar(texts: str, others: str | None = None, threshold: int = 80) -> str:
+    """CTEs ``cand``, ``dp`` and ``sim``: all pairs of ``texts(text)`` (and ``others``) that match.
 
     Levenshtein distance never exceeds the insert/delete distance, so the first
-    step only leaves out pairs that cannot match; ``dp`` fills the LCS table row
-    by row.
+    step only leaves out pairs that cannot match. DuckDB measures it in bytes:
+    characters beyond ASCII are first folded to one, which can only lower it.
+    ``dp`` fills the LCS table row by row.
     """
     return f"""
 cand AS (
   SELECT x.text AS a, y.text AS b
-  FROM {texts} x, {texts} y
-  WHERE levenshtein(x.text, y.text) * 5 <= length(x.text) + length(y.text)
+  FROM (SELECT text, regexp_replace(text, '[^ -~]', '?', 'g') AS flat FROM {texts}) x,
+       (SELECT text, regexp_replace(text, '[^ -~]', '?', 'g') AS flat FROM {others or texts}) y
+  WHERE levenshtein(x.flat, y.flat) * 100 <= {100 - threshold} * (length(x.text) + length(y.text))
 ),
 dp(a, b, i, line) AS (
   SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM cand
@@ -59,7 +61,8 @@ sim AS (
   SELECT a, b, (1.0::DOUBLE - (length(a) + length(b) - 2 * line[len(line)])::DOUBLE
                 / (length(a) + length(b))) * 100.0 AS score
   FROM dp
-  WHERE i = length(a) AND 5 * (length(a) + length(b) - 2 * line[len(line)]) <= length(a) + length(b)
+  WHERE i = length(a)
+    AND 100 * (length(a) + length(b) - 2 * line[len(line)]) <= {100 - threshold} * (length(a) + length(b))
 )"""
 
 
