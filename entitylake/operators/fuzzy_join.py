@@ -14,12 +14,13 @@ occurrence of a gram counts as a token of its own). So:
    token, and the key is the pair of both. This splits the large groups,
 4. a pair that meets under several keys is kept under one of them only, so no
    shuffle is needed to remove duplicates,
-5. length, then bounded Levenshtein distance (never above the insert/delete
-   distance), then the exact ratio decide.
+5. length, a bit vector of the characters, then bounded Levenshtein distance
+   (none of them ever above the insert/delete distance) sort out pairs before
+   the exact ratio decides.
 
 Texts too short for shared bigrams to be certain go through the same steps
-with single characters as tokens. What groups remain large is split at run
-time by adaptive execution, as the join is a plain inner equi-join.
+with single characters as tokens. Keys that still have many texts are cut into
+cells that are joined in different tasks.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from entitylake.functions.similarity import (
     match_string,
     ratio_of_distance,
 )
+from entitylake.operators.hot_keys import CHUNK_ROWS, hot_grid, with_cells
 
 # A token held by more texts than this counts as hot. At most HOT_TOKENS of
 # them, the most frequent ones, are kept: that bounds the broadcast table, and
@@ -44,6 +46,9 @@ from entitylake.functions.similarity import (
 HOT_ROWS = 2000
 HOT_TOKENS = 4096
 
+# Partitions of the comparing join, as a multiple of the shuffle partitions.
+TASKS_PER_PARTITION = 4
+
 _EPSILON = 1e-9  # keeps rounded-up bounds on the safe (lower) side
 
 
@@ -99,8 +104,22 @@ def _tokens(text: Column, bigrams: bool) -> Column:
     )
 
 
+def _bag(text: Column) -> Column:
+    """64-bit set of the text's (character, n-th occurrence) tokens.
+
+    Every bit in which two texts differ costs at least one insert or delete.
+    """
+    return F.aggregate(
+        _tokens(text, False),
+        F.lit(0).cast("bigint"),
+        lambda bag, t: bag.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(t, F.lit(64)).cast("int"))
+        ),
+    )
+
+
 def _exploded_tokens(texts: DataFrame, bounds: _Bounds) -> DataFrame:
-    """(text, n, bigrams, token): one row per token and text."""
+    """(text, n, bag, bigrams, token): one row per token and text."""
     text, n = F.col("text"), F.col("n")
     limit = bounds.shortest_bigram_sum
     kinds = []
@@ -117,9 +136,11 @@ def _exploded_tokens(texts: DataFrame, bounds: _Bounds) -> DataFrame:
         )
     )
     return (
-        texts.select("text", "n", F.explode(F.array(*kinds)).alias("kind"))
+        texts.select("text", "n", "bag", F.explode(F.array(*kinds)).alias("kind"))
         .where(F.col("kind").isNotNull())
-        .select("text", "n", F.col("kind.bigrams").alias("bigrams"), F.explode("kind.tokens").alias("token"))
+        .select(
+            "text", "n", "bag", F.col("kind.bigrams").alias("bigrams"), F.explode("kind.tokens").alias("token")
+        )
     )
 
 
@@ -130,6 +151,7 @@ def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
         .distinct()
         .withColumn("n", F.length("text"))
         .where(F.col("n") > 0)
+        .withColumn("bag", _bag(F.col("text")))
     )
 
 
@@ -144,14 +166,14 @@ def _hot_tokens(tokens: DataFrame, hot_rows: int, hot_tokens: int) -> DataFrame:
 
 
 def _signatures(tokens: DataFrame, hot: DataFrame, bounds: _Bounds) -> DataFrame:
-    """(text, n, bigrams, prefix, rare, key): one row per join key of a text.
+    """(text, n, bag, bigrams, prefix, rare, key): one row per join key of a text.
 
     The texts arrive partitioned by text from their ``distinct``, so putting a
     text's tokens back together needs no further shuffle.
     """
     ordered = (
         tokens.join(F.broadcast(hot), "token", "left")
-        .groupBy("text", "n", "bigrams")
+        .groupBy("text", "n", "bag", "bigrams")
         .agg(
             F.array_sort(
                 F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "token"))
@@ -188,17 +210,27 @@ def _signatures(tokens: DataFrame, hot: DataFrame, bounds: _Bounds) -> DataFrame
         .withColumn("head", F.slice("ordered", F.lit(1), F.col("prefix_size") + 1))
         .withColumn("rare", F.size(F.filter("head", lambda x: x["rows"] == 0)))
         .select(
-            "text", "n", "bigrams", token.alias("prefix"), "rare",
+            "text", "n", "bag", "bigrams", token.alias("prefix"), "rare",
             F.explode(F.array_distinct(F.concat(singles, pairs, hot_singles))).alias("key"),
         )
     )
 
 
-def _blocked_pairs(left: DataFrame, right: DataFrame, bounds: _Bounds, ordered: bool) -> DataFrame:
-    """Unequal matching texts with their score, each pair once."""
-    a, b = left.alias("a"), right.alias("b")
+def _blocked_pairs(
+    left: DataFrame, right: DataFrame | None, bounds: _Bounds, chunk_rows: int
+) -> DataFrame:
+    """Unequal matching texts with their score, each pair once; no ``right`` means within ``left``."""
+    grid = hot_grid(left, right, "key", chunk_rows=chunk_rows)
+    one, two = with_cells(left, left if right is None else right, grid, "key", "text")
+    # The work is in comparing, not in the bytes: spread it over all tasks there
+    # are, where adaptive execution would put so few bytes into few partitions.
+    spark = left.sparkSession
+    tasks = TASKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = one.repartition(tasks, "key", "cell").alias("a")
+    b = two.repartition(tasks, "key", "cell").hint("merge").alias("b")
     n, m, bigrams = F.col("a.n"), F.col("b.n"), F.col("a.bigrams")
     total = n + m
+    most = bounds.max_distance(total)
     first_two = F.array_intersect("a.prefix", "b.prefix")
     # The one key under which a pair is reported.
     first = F.get(first_two, F.lit(0))
@@ -208,31 +240,42 @@ def _blocked_pairs(left: DataFrame, right: DataFrame, bounds: _Bounds, ordered:
     home = F.when(single, F.xxhash64(bigrams, first)).otherwise(
         F.xxhash64(bigrams, first, F.get(first_two, F.lit(1)))
     )
+    # Cheapest tests first.
     condition = (
         (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.cell") == F.col("b.cell"))
         & (F.col("a.bigrams") == F.col("b.bigrams"))
-        & (F.col("a.text") < F.col("b.text") if ordered else F.col("a.text") != F.col("b.text"))
-        & (F.abs(n - m) <= bounds.max_distance(total))
+        & (F.abs(n - m) <= most)
+        & (F.bit_count(F.col("a.bag").bitwiseXOR(F.col("b.bag"))) <= most)
+        & (F.col("a.text") < F.col("b.text") if right is None else F.col("a.text") != F.col("b.text"))
         & (bigrams == (total > F.lit(float(bounds.shortest_bigram_sum))))
         & (home == F.col("a.key"))
     )
     x, y = F.col("left_text"), F.col("right_text")
+    edits = F.col("edits")
     return (
         a.join(b, condition)
         .select(
             F.col("a.text").alias("left_text"),
             F.col("b.text").alias("right_text"),
             total.alias("total"),
-            bounds.max_distance(total).alias("most"),
+            F.abs(n - m).alias("difference"),
+            most.alias("most"),
+            F.call_function("levenshtein", F.col("a.text"), F.col("b.text"), most).alias("edits"),
         )
-        .where(F.call_function("levenshtein", x, y, F.col("most")) >= 0)
-        # Exploding zero or one distance filters without computing it twice.
+        # The insert/delete distance is at least the edits and odd only if the total is.
+        .where((edits >= 0) & (edits + (edits + F.col("total")) % 2 <= F.col("most")))
+        # Exploding zero or one distance filters without computing it twice. With
+        # no more edits than the lengths differ, none is a replacement.
         .select(
             "left_text",
             "right_text",
             "total",
             F.explode(
-                F.filter(F.array(indel_distance(x, y)), lambda d: d <= F.col("most"))
+                F.filter(
+                    F.array(F.when(edits == F.col("difference"), edits).otherwise(indel_distance(x, y))),
+                    lambda d: d <= F.col("most"),
+                )
             ).alias("distance"),
         )
         .select("left_text", "right_text", ratio_of_distance(F.col("distance"), F.col("total")).alias("score"))
@@ -246,6 +289,7 @@ def similar_texts(
     threshold: float = 80,
     hot_rows: int = HOT_ROWS,
     hot_tokens: int = HOT_TOKENS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Pairs ``(left_text, right_text, score)`` of distinct texts that match.
 
@@ -258,7 +302,7 @@ def similar_texts(
     if right is None:
         hot = _hot_tokens(my_tokens, hot_rows, hot_tokens)
         signatures = _signatures(my_tokens, hot, bounds)
-        once = _blocked_pairs(signatures, signatures, bounds, ordered=True)
+        once = _blocked_pairs(signatures, None, bounds, chunk_rows)
         # Both orders from one row, instead of a union that would compute the pairs twice.
         x, y = F.col("left_text"), F.col("right_text")
         orders = F.array(
@@ -272,7 +316,7 @@ def similar_texts(
         their_tokens = _exploded_tokens(theirs, bounds)
         hot = _hot_tokens(my_tokens.unionByName(their_tokens), hot_rows, hot_tokens)
         unequal = _blocked_pairs(
-            _signatures(my_tokens, hot, bounds), _signatures(their_tokens, hot, bounds), bounds, ordered=False
+            _signatures(my_tokens, hot, bounds), _signatures(their_tokens, hot, bounds), bounds, chunk_rows
         )
         equal = (
             left.select(F.col(text).alias("left_text")).distinct()

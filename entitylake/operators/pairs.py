@@ -2,9 +2,8 @@
 
 Rows are first folded to one row per (key, item) with a weight, the number of
 rows behind it, so a pair of items is formed once per key and stands for the
-product of the weights. A key with very many items would still put all its
-pairs in one task; such keys are cut into chunks on one side, each chunk
-meeting the whole other side in a task of its own.
+product of the weights. A key with very many items is cut into a grid of cells
+that are joined in different tasks.
 """
 
 from __future__ import annotations
@@ -14,10 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Items per key from which a key is cut, and the number of keys treated so: the
-# heaviest ones, which bounds the broadcast table. A lighter key stays whole.
-CHUNK_ITEMS = 2000
-HOT_KEYS = 10_000
+from entitylake.operators.hot_keys import CHUNK_ROWS, HOT_KEYS, hot_grid, with_cells
 
 
 def fold(df: DataFrame, key: str, item: str, *extra: str | Column) -> DataFrame:
@@ -35,43 +31,33 @@ def pairs_under_key(
     condition: Column | None = None,
     also_equal: Sequence[str] = (),
     loads: DataFrame | None = None,
-    chunk_items: int = CHUNK_ITEMS,
+    chunk_rows: int = CHUNK_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Join two folded frames on ``key``, item of the left < item of the right.
 
     The sides come out under the aliases ``one`` and ``two``; ``condition`` may
-    refer to them, ``also_equal`` names further columns to join on. ``loads`` is
-    the folded frame to size keys by, where ``left`` carries more columns.
+    refer to them, ``also_equal`` names further columns to join on. Keys are
+    sized by the items of ``loads``, a folded frame, by default the left one.
     """
-    hot = (
-        (left if loads is None else loads)
-        .groupBy("key")
-        # The summed weight, not a count: it needs the same columns as the sides
-        # below, so their shuffle is read again instead of being repeated.
-        .agg(F.sum("weight").alias("load"))
-        .where(F.col("load") > chunk_items)
-        .orderBy(F.desc("load"), "key")
-        .limit(hot_keys)
-        .select("key", F.ceil(F.col("load") / chunk_items).cast("int").alias("chunks"))
-    )
-    chunks = F.coalesce("chunks", F.lit(1))
-    one = (
-        left.join(F.broadcast(hot), "key", "left")
-        .withColumn("chunk", F.pmod(F.hash("item"), chunks))
-        .drop("chunks")
-    )
-    two = (
-        right.join(F.broadcast(hot), "key", "left")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .drop("chunks")
+    grid = hot_grid(
+        left if loads is None else loads,
+        None,
+        "key",
+        # Refers to the weight, so that the fold has the same columns here and
+        # in the sides, and runs once.
+        counted=F.when(F.col("weight") > 0, F.lit(1)),
+        chunk_rows=chunk_rows,
+        hot_keys=hot_keys,
     )
+    one, two = with_cells(left, right, grid, "key", "item")
     on = F.col("one.item") < F.col("two.item")
-    for name in ("key", "chunk", *also_equal):
+    for name in ("key", "cell", *also_equal):
         on = on & (F.col(f"one.{name}") == F.col(f"two.{name}"))
     if condition is not None:
         on = on & condition
-    return one.alias("one").join(two.alias("two"), on)
+    # Not to be broadcast on the size estimate: the pairs are worth spreading out.
+    return one.alias("one").join(two.hint("merge").alias("two"), on)
 
 
 def pair_weight() -> Column:
