@@ -46,7 +46,7 @@ from entitylake.operators.hot_keys import CHUNK_ROWS, hot_grid, with_cells
 HOT_ROWS = 2000
 HOT_TOKENS = 4096
 
-# Partitions of the comparing join, as a multiple of the shuffle partitions.
+# Partitions of the computing stages, as a multiple of the shuffle partitions.
 TASKS_PER_PARTITION = 4
 
 _EPSILON = 1e-9  # keeps rounded-up bounds on the safe (lower) side
@@ -69,7 +69,9 @@ class _Bounds:
         return floor(200 / slope + _EPSILON) if slope > _EPSILON else float("inf")
 
     def max_distance(self, total: Column) -> Column:
-        return F.floor(total * ((100 - self.threshold) / 100) + _EPSILON).cast("int")
+        """Largest insert/delete distance of a match; like any such distance, odd only if the total is."""
+        most = F.floor(total * ((100 - self.threshold) / 100) + _EPSILON).cast("int")
+        return most - (most + total) % 2
 
     def shortest_sum(self, length: Column) -> Column:
         """Smallest summed length a matching pair with this text can have."""
@@ -97,7 +99,7 @@ def _tokens(text: Column, bigrams: bool) -> Column:
             ),
         )
     return bind(
-        F.array_sort(grams),
+        F.sort_array(grams),
         lambda g: F.transform(
             g, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(g, x), F.lit(bigrams))
         ),
@@ -144,11 +146,21 @@ def _exploded_tokens(texts: DataFrame, bounds: _Bounds) -> DataFrame:
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions for stages whose work is in computing, not in bytes.
+
+    Adaptive execution would put so few bytes into few partitions; a number
+    given explicitly is kept.
+    """
+    return TASKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
     return (
         df.select(F.col(text).alias("text"))
         .where(F.col("text").isNotNull())
         .distinct()
+        .repartition(_tasks(df), "text")
         .withColumn("n", F.length("text"))
         .where(F.col("n") > 0)
         .withColumn("bag", _bag(F.col("text")))
@@ -168,14 +180,14 @@ def _hot_tokens(tokens: DataFrame, hot_rows: int, hot_tokens: int) -> DataFrame:
 def _signatures(tokens: DataFrame, hot: DataFrame, bounds: _Bounds) -> DataFrame:
     """(text, n, bag, bigrams, prefix, rare, key): one row per join key of a text.
 
-    The texts arrive partitioned by text from their ``distinct``, so putting a
-    text's tokens back together needs no further shuffle.
+    The texts arrive partitioned by text, so putting a text's tokens back
+    together needs no further shuffle.
     """
     ordered = (
         tokens.join(F.broadcast(hot), "token", "left")
         .groupBy("text", "n", "bag", "bigrams")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "token"))
             ).alias("ordered")
         )
@@ -222,12 +234,8 @@ def _blocked_pairs(
     """Unequal matching texts with their score, each pair once; no ``right`` means within ``left``."""
     grid = hot_grid(left, right, "key", chunk_rows=chunk_rows)
     one, two = with_cells(left, left if right is None else right, grid, "key", "text")
-    # The work is in comparing, not in the bytes: spread it over all tasks there
-    # are, where adaptive execution would put so few bytes into few partitions.
-    spark = left.sparkSession
-    tasks = TASKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a = one.repartition(tasks, "key", "cell").alias("a")
-    b = two.repartition(tasks, "key", "cell").hint("merge").alias("b")
+    a = one.repartition(_tasks(left), "key", "cell").alias("a")
+    b = two.repartition(_tasks(left), "key", "cell").hint("merge").alias("b")
     n, m, bigrams = F.col("a.n"), F.col("b.n"), F.col("a.bigrams")
     total = n + m
     most = bounds.max_distance(total)
@@ -240,7 +248,8 @@ def _blocked_pairs(
     home = F.when(single, F.xxhash64(bigrams, first)).otherwise(
         F.xxhash64(bigrams, first, F.get(first_two, F.lit(1)))
     )
-    # Cheapest tests first.
+    edits = F.call_function("levenshtein", F.col("a.text"), F.col("b.text"), most)
+    # Cheapest tests first; all in the join, as a filter on top would be put before them.
     condition = (
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.cell") == F.col("b.cell"))
@@ -249,10 +258,10 @@ def _blocked_pairs(
         & (F.bit_count(F.col("a.bag").bitwiseXOR(F.col("b.bag"))) <= most)
         & (F.col("a.text") < F.col("b.text") if right is None else F.col("a.text") != F.col("b.text"))
         & (bigrams == (total > F.lit(float(bounds.shortest_bigram_sum))))
+        & (edits >= 0)
         & (home == F.col("a.key"))
     )
     x, y = F.col("left_text"), F.col("right_text")
-    edits = F.col("edits")
     return (
         a.join(b, condition)
         .select(
@@ -261,10 +270,8 @@ def _blocked_pairs(
             total.alias("total"),
             F.abs(n - m).alias("difference"),
             most.alias("most"),
-            F.call_function("levenshtein", F.col("a.text"), F.col("b.text"), most).alias("edits"),
+            edits.alias("edits"),
         )
-        # The insert/delete distance is at least the edits and odd only if the total is.
-        .where((edits >= 0) & (edits + (edits + F.col("total")) % 2 <= F.col("most")))
         # Exploding zero or one distance filters without computing it twice. With
         # no more edits than the lengths differ, none is a replacement.
         .select(
@@ -273,7 +280,11 @@ def _blocked_pairs(
             "total",
             F.explode(
                 F.filter(
-                    F.array(F.when(edits == F.col("difference"), edits).otherwise(indel_distance(x, y))),
+                    F.array(
+                        F.when(F.col("edits") == F.col("difference"), F.col("edits")).otherwise(
+                            indel_distance(x, y)
+                        )
+                    ),
                     lambda d: d <= F.col("most"),
                 )
             ).alias("distance"),
