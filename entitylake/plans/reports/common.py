@@ -16,7 +16,7 @@ ANY = "All"  # value of a type or sentiment filter that filters nothing
 Moment = str | date | datetime | None
 
 
-@dataclass(frozen=True)
+@dataclass
 class ReportTables:
     """The three wide tables all reports read."""
 

@@ -7,6 +7,8 @@ reports tables that grow with the data without a news feed.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,9 +102,20 @@ def sentiment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def report_tables(spark: SparkSession, folder: str) -> ReportTables:
-    return ReportTables(
-        affiliations=affiliations(spark, folder),
-        mentions=mentions(spark, folder),
-        sentiment=sentiment(spark, folder),
-    )
+class StarTables(ReportTables):
+    """The report tables over a folder, each set up when a report first asks for it."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._folder = spark, folder
+
+    @cached_property
+    def affiliations(self) -> DataFrame:
+        return affiliations(self._spark, self._folder)
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return mentions(self._spark, self._folder)
+
+    @cached_property
+    def sentiment(self) -> DataFrame:
+        return sentiment(self._spark, self._folder)
