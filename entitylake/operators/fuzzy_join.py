@@ -46,6 +46,10 @@ from entitylake.operators.hot_keys import CHUNK_ROWS, hot_grid, with_cells
 HOT_ROWS = 2000
 HOT_TOKENS = 4096
 
+# Pairs with a text longer than this meet under single tokens only: the number
+# of token pairs grows with the square of the length.
+LONG_TEXT = 64
+
 # Partitions of the computing stages, as a multiple of the shuffle partitions.
 TASKS_PER_PARTITION = 4
 
@@ -78,6 +82,9 @@ class _Bounds:
         partner = F.ceil(length * (self.threshold / (200 - self.threshold)) - _EPSILON)
         return length + F.greatest(partner, F.lit(1))
 
+    def longest_partner(self, length: Column) -> Column:
+        return F.floor(length * ((200 - self.threshold) / self.threshold) + _EPSILON)
+
     def shared(self, total: Column, bigrams: Column) -> Column:
         """Tokens a matching pair of this summed length has in common at least."""
         by_bigram = total * ((3 * self.threshold - 200) / 200) - 1
@@ -201,22 +208,26 @@ def _signatures(tokens: DataFrame, hot: DataFrame, bounds: _Bounds) -> DataFrame
         F.slice(token, F.lit(1), F.least(F.col("rare"), F.col("prefix_size"))),
         lambda t: F.xxhash64(bigrams, t),
     )
-    pairs = bind(
-        hot_part,
-        lambda h: F.flatten(
-            F.transform(
-                h,
-                lambda x, i: F.transform(
-                    F.slice(h, i + 2, F.size(h)), lambda y: F.xxhash64(bigrams, x, y)
-                ),
-            )
+    none = F.array().cast("array<bigint>")
+    pairs = F.when(
+        n <= LONG_TEXT,
+        bind(
+            hot_part,
+            lambda h: F.flatten(
+                F.transform(
+                    h,
+                    lambda x, i: F.transform(
+                        F.slice(h, i + 2, F.size(h)), lambda y: F.xxhash64(bigrams, x, y)
+                    ),
+                )
+            ),
         ),
-    )
-    # Pairs so short that one shared token is all they need to have.
+    ).otherwise(none)
+    # For pairs so short that one shared token is all they need to have, and for long ones.
     hot_singles = F.when(
-        bounds.shared(smallest, bigrams) <= 1,
+        (bounds.shared(smallest, bigrams) <= 1) | (bounds.longest_partner(n) > LONG_TEXT),
         F.transform(hot_part, lambda t: F.xxhash64(bigrams, t)),
-    ).otherwise(F.array().cast("array<bigint>"))
+    ).otherwise(none)
     return (
         ordered.withColumn("prefix_size", prefix)
         .withColumn("head", F.slice("ordered", F.lit(1), F.col("prefix_size") + 1))
@@ -242,8 +253,10 @@ def _blocked_pairs(
     first_two = F.array_intersect("a.prefix", "b.prefix")
     # The one key under which a pair is reported.
     first = F.get(first_two, F.lit(0))
-    single = (F.array_position(F.col("a.prefix"), first) <= F.col("a.rare")) | (
-        bounds.shared(total, bigrams) <= 1
+    single = (
+        (F.array_position(F.col("a.prefix"), first) <= F.col("a.rare"))
+        | (bounds.shared(total, bigrams) <= 1)
+        | (F.greatest(n, m) > LONG_TEXT)
     )
     home = F.when(single, F.xxhash64(bigrams, first)).otherwise(
         F.xxhash64(bigrams, first, F.get(first_two, F.lit(1)))

@@ -12,7 +12,7 @@ from entitylake.functions.text import name_tokens
 from entitylake.schemas import MENTIONS
 
 # Dictionaries up to this many phrases are broadcast, larger ones are shuffled.
-BROADCAST_PHRASES = 500_000
+BROADCAST_PHRASES = 200_000
 
 Extractor = Callable[[str], Sequence[tuple[str, str]]]
 
@@ -35,30 +35,37 @@ def _dictionary(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _spans_by_first_token(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Broadcast match: look up the token at each position, then compare the rest of the phrase."""
-    phrases = dictionary.withColumn("first", F.element_at("parts", 1))
-    found = F.slice("tokens", F.col("start") + 1, F.size("parts")) == F.col("parts")
-    return (
-        texts.select("key", "field", "text_id", "tokens", F.posexplode("tokens").alias("start", "first"))
-        .join(F.broadcast(phrases), "first")
-        .where(found)
-        .select("key", "field", "text_id", "start", (F.col("start") + F.size("parts")).alias("end"), "labels")
-    )
-
+def _spans(texts: DataFrame, dictionary: DataFrame, lengths: Sequence[int], small: bool) -> DataFrame:
+    """(key, field, text_id, start, end, labels): where a run of tokens is a dictionary phrase.
 
-def _spans_by_phrase(texts: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
-    """Shuffled match for large dictionaries: every token run up to the longest phrase is a key."""
-    spans = (
-        texts.select("key", "field", "text_id", "tokens", F.posexplode("tokens").alias("start", "first"))
-        .withColumn("length", F.explode(F.sequence(F.lit(1), F.lit(longest))))
-        .where(F.col("start") + F.col("length") <= F.size("tokens"))
+    Runs are looked up whole, so it does not matter how many phrases begin with
+    the same token. With a small dictionary both lookups are broadcast and only
+    positions whose token begins a phrase give runs, of the lengths such
+    phrases have; with a large one every run of a length in the dictionary is
+    a key of a shuffled join.
+    """
+    positions = texts.select(
+        "key", "field", "text_id", "tokens", F.posexplode("tokens").alias("start", "first")
+    )
+    if small:
+        beginnings = dictionary.groupBy(F.element_at("parts", 1).alias("first")).agg(
+            F.collect_set(F.size("parts")).alias("lengths")
+        )
+        positions = positions.join(F.broadcast(beginnings), "first")
+        dictionary = F.broadcast(dictionary)
+    else:
+        positions = positions.withColumn("lengths", F.array(*[F.lit(n) for n in lengths]))
+    end = F.col("start") + F.col("length")
+    return (
+        positions.withColumn("length", F.explode("lengths"))
+        .where(end <= F.size("tokens"))
         .select(
-            "key", "field", "text_id", "start", (F.col("start") + F.col("length")).alias("end"),
+            "key", "field", "text_id", "start", end.alias("end"),
             F.slice("tokens", F.col("start") + 1, F.col("length")).alias("parts"),
         )
+        .join(dictionary, "parts")
+        .drop("parts")
     )
-    return spans.join(dictionary, "parts").drop("parts")
 
 
 def extract_mentions(
@@ -78,7 +85,7 @@ def extract_mentions(
     dictionary = _dictionary(gazetteer)
     # One small job on the dictionary decides how it is joined.
     size = dictionary.agg(
-        F.count(F.lit(1)).alias("phrases"), F.max(F.size("parts")).alias("longest")
+        F.count(F.lit(1)).alias("phrases"), F.collect_set(F.size("parts")).alias("lengths")
     ).first()
     fields = F.array(*[F.col(c) for c in columns])
     texts = (
@@ -86,10 +93,7 @@ def extract_mentions(
         .where(F.col("text").isNotNull())
         .select("key", "field", F.xxhash64("text").alias("text_id"), name_tokens(F.col("text")).alias("tokens"))
     )
-    if size["phrases"] <= broadcast_phrases:
-        spans = _spans_by_first_token(texts, dictionary)
-    else:
-        spans = _spans_by_phrase(texts, dictionary, size["longest"])
+    spans = _spans(texts, dictionary, sorted(size["lengths"]), size["phrases"] <= broadcast_phrases)
     # Copies of a text under one key fold together before the window, so a
     # window holds at most the matches of one text.
     spans = spans.dropDuplicates(["key", "field", "text_id", "start", "end"])
