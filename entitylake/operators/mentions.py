@@ -96,7 +96,7 @@ def extract_mentions(
     spans = _spans(texts, dictionary, sorted(size["lengths"]), size["phrases"] <= broadcast_phrases)
     # Copies of a text under one key fold together before the window, so a
     # window holds at most the matches of one text.
-    spans = spans.dropDuplicates(["key", "field", "text_id", "start", "end"])
+    spans = spans.distinct()
     before = (
         Window.partitionBy("key", "field", "text_id")
         .orderBy("start", F.desc("end"))

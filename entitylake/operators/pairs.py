@@ -31,6 +31,7 @@ def pairs_under_key(
     condition: Column | None = None,
     also_equal: Sequence[str] = (),
     loads: DataFrame | None = None,
+    weighted: bool = True,
     chunk_rows: int = CHUNK_ROWS,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
@@ -39,14 +40,14 @@ def pairs_under_key(
     The sides come out under the aliases ``one`` and ``two``; ``condition`` may
     refer to them, ``also_equal`` names further columns to join on. Keys are
     sized by the items of ``loads``, a folded frame, by default the left one.
+    Say ``weighted=False`` if the weights are not used afterwards: the fold then
+    has the same columns for sizing and joining, and its shuffle is done once.
     """
     grid = hot_grid(
         left if loads is None else loads,
         None,
         "key",
-        # Refers to the weight, so that the fold has the same columns here and
-        # in the sides, and runs once.
-        counted=F.when(F.col("weight") > 0, F.lit(1)),
+        counted=F.when(F.col("weight") > 0, F.lit(1)) if weighted else None,
         chunk_rows=chunk_rows,
         hot_keys=hot_keys,
     )

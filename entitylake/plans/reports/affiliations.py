@@ -143,7 +143,7 @@ def related_entities(tables: ReportTables, *, entity_type: str = ANY) -> DataFra
     """The twenty pairs of entities found together in most articles, in two at least."""
     items = fold(keep(tables.mentions, is_one_of("entity_type", entity_type)), "source_uri", "entity_name")
     return (
-        pairs_under_key(items, items)
+        pairs_under_key(items, items, weighted=False)
         # One row per article and pair, so counting rows counts articles.
         .groupBy(F.col("one.item").alias("entity1"), F.col("two.item").alias("entity2"))
         .agg(F.count(F.lit(1)).alias("co_occurrence_count"))

@@ -179,7 +179,7 @@ def sentiment_correlation(
         .otherwise("Strong Negative")
     )
     return (
-        pairs_under_key(items, items)
+        pairs_under_key(items, items, weighted=False)
         .groupBy(F.col("one.item").alias("entity1"), F.col("two.item").alias("entity2"))
         .agg(
             F.count(F.lit(1)).alias("common_sources"),

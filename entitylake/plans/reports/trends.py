@@ -160,7 +160,7 @@ def pair_mention_trends(
         items = items.join(articles, ["key", "month"], "left_semi")
     place = Window.partitionBy("month").orderBy(F.desc("co_mention_count"))
     return (
-        pairs_under_key(items, items, wanted, also_equal=("month",))
+        pairs_under_key(items, items, wanted, also_equal=("month",), weighted=False)
         .groupBy(
             F.col("one.month").alias("month"),
             F.col("one.item").alias("entity1"),
@@ -170,6 +170,7 @@ def pair_mention_trends(
         .agg(F.count(F.lit(1)).alias("co_mention_count"))
         .withColumn("rank", F.rank().over(place))
         .where(F.col("rank") <= 10)
+        .withColumn("rank", F.col("rank").cast("bigint"))
         .orderBy(up("month"), down("co_mention_count"), up("entity1"), up("entity2"))
     )
 
@@ -252,7 +253,7 @@ def affiliation_strength_evolution(
             "affiliated_entity_name",
             "avg_match_score",
             (F.col("links") * F.col("mentions")).alias("co_mention_count"),
-            "rank",
+            F.col("rank").cast("bigint").alias("rank"),
         )
         .orderBy(up("quarter"), down("avg_match_score"), up("affiliated_entity_name"))
     )
