@@ -101,7 +101,7 @@ def _tokens(text: Column, bigrams: bool) -> Column:
         grams = bind(
             chars,
             lambda c: F.transform(
-                F.slice(c, F.lit(1), F.size(c) - 1),
+                F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))),
                 lambda x, i: F.concat(x, F.get(c, i + 1)),
             ),
         )
@@ -162,15 +162,20 @@ def _tasks(df: DataFrame) -> int:
     return TASKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _distinct_texts(df: DataFrame, text: str) -> DataFrame:
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    """The different texts of a column; alike wherever used, so that its shuffle runs once."""
+    return df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+
+
+def _measured(df: DataFrame, text: str) -> DataFrame:
+    """(text, n, bag): the different texts with length and characters."""
     return (
-        df.select(F.col(text).alias("text"))
-        .where(F.col("text").isNotNull())
-        .distinct()
+        _texts(df, text)
         .repartition(_tasks(df), "text")
-        .withColumn("n", F.length("text"))
-        .where(F.col("n") > 0)
-        .withColumn("bag", _bag(F.col("text")))
+        # Never null by construction: otherwise null checks that Catalyst infers from
+        # the join would compute both for every row below the distinct.
+        .withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
+        .withColumn("bag", F.coalesce(_bag(F.col("text")), F.lit(0).cast("bigint")))
     )
 
 
@@ -263,10 +268,11 @@ def _blocked_pairs(
     )
     edits = F.call_function("levenshtein", F.col("a.text"), F.col("b.text"), most)
     # Cheapest tests first; all in the join, as a filter on top would be put before them.
+    # Equality on exactly the columns the sides are partitioned by; the key's hash
+    # covers the kind of token.
     condition = (
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.cell") == F.col("b.cell"))
-        & (F.col("a.bigrams") == F.col("b.bigrams"))
         & (F.abs(n - m) <= most)
         & (F.bit_count(F.col("a.bag").bitwiseXOR(F.col("b.bag"))) <= most)
         & (F.col("a.text") < F.col("b.text") if right is None else F.col("a.text") != F.col("b.text"))
@@ -321,7 +327,7 @@ def similar_texts(
     pair is computed once and reported in both orders, equal texts included.
     """
     bounds = _Bounds(threshold)
-    mine = _distinct_texts(left, text)
+    mine = _measured(left, text)
     my_tokens = _exploded_tokens(mine, bounds)
     if right is None:
         hot = _hot_tokens(my_tokens, hot_rows, hot_tokens)
@@ -334,19 +340,18 @@ def similar_texts(
             F.struct(y.alias("left_text"), x.alias("right_text")),
         )
         unequal = once.select(F.explode(orders).alias("pair"), "score").select("pair.*", "score")
-        equal = left.select(F.col(text).alias("left_text")).where(F.col(text).isNotNull()).distinct()
+        equal = _texts(left, text)
     else:
-        theirs = _distinct_texts(right, text)
+        theirs = _measured(right, text)
         their_tokens = _exploded_tokens(theirs, bounds)
         hot = _hot_tokens(my_tokens.unionByName(their_tokens), hot_rows, hot_tokens)
         unequal = _blocked_pairs(
             _signatures(my_tokens, hot, bounds), _signatures(their_tokens, hot, bounds), bounds, chunk_rows
         )
-        equal = (
-            left.select(F.col(text).alias("left_text")).distinct()
-            .join(right.select(F.col(text).alias("left_text")).distinct(), "left_text")
-        )
-    equal = equal.select("left_text", F.col("left_text").alias("right_text"), F.lit(100.0).alias("score"))
+        equal = _texts(left, text).join(_texts(right, text), "text")
+    equal = equal.select(
+        F.col("text").alias("left_text"), F.col("text").alias("right_text"), F.lit(100.0).alias("score")
+    )
     return unequal.unionByName(equal)
 
 
