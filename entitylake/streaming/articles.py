@@ -7,6 +7,8 @@ its first sighting is within the watermark.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,8 +33,12 @@ def article_stream(spark: SparkSession, landing: str, keep_for: str = "8 days")
 def append_stream(
     articles: DataFrame, target: str, name: str = "articles", fallback_folder: str | None = None
 ) -> StreamingQuery:
-    """Append to a Parquet folder what has landed, then stop; run it again for more."""
-    progress = f"{shared_folder(articles.sparkSession, fallback_folder)}/{name}"
+    """Append to a Parquet folder what has landed, then stop; run it again for more.
+
+    Progress is kept in the shared folder, apart for each target.
+    """
+    folder = shared_folder(articles.sparkSession, fallback_folder)
+    progress = f"{folder}/{name}-{sha256(target.encode()).hexdigest()[:16]}"
     return (
         articles.writeStream.format("parquet")
         .outputMode("append")

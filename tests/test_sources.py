@@ -1,5 +1,6 @@
 import json
 from datetime import date, datetime
+from uuid import uuid4
 
 import pytest
 
@@ -120,7 +121,8 @@ def test_shared_folder(spark):
 
 
 def test_stream_drops_what_overlapping_windows_repeat(spark, tmp_path):
-    landing, target = tmp_path / "landing", str(tmp_path / "articles")
+    # A name of its own: the session's shared folder outlives the test.
+    landing, target = tmp_path / "landing", str(tmp_path / f"articles-{uuid4().hex}")
 
     def run():
         append_stream(
