@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entitylake.llm import decontamination, line_dedup, sharding
+from entitylake.llm import decontamination, line_dedup, quality_rules, sharding, warc
 from entitylake.llm.common import table
 
 
@@ -12,16 +12,29 @@ def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return quality_rules.judge(docs).select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "distance")
+
+
 def op3_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op4_zstd_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {q.__name__: q for q in (op1_histogram_shards, op3_site_lines, op9_positional_index)}
-ORACLES = {"op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}
+QUERIES = {
+    q.__name__: q
+    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op9_positional_index)
+}
+ORACLES = {"op4_zstd_archives": warc.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}
