@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entitylake.llm import decontamination, line_dedup, quality_rules, sharding, warc
+from entitylake.llm import decontamination, line_dedup, quality_rules, sharding, token_files, warc
 from entitylake.llm.common import table
 
 
@@ -33,8 +33,13 @@ def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op9_positional_index)
+    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op9_positional_index,
+              op10_pfor_ids)
 }
 ORACLES = {"op4_zstd_archives": warc.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}
