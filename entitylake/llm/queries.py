@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from entitylake.llm import decontamination, line_dedup, quality_rules, sharding, token_files, warc
+from entitylake.llm import decontamination, line_dedup, pieces, quality_rules, sharding, token_files, warc
 from entitylake.llm.common import table
 
 
@@ -27,6 +28,17 @@ def op4_zstd_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_piece_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
+    )
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -39,7 +51,7 @@ def op10_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op9_positional_index,
-              op10_pfor_ids)
+    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op7_piece_paths,
+              op9_positional_index, op10_pfor_ids)
 }
 ORACLES = {"op4_zstd_archives": warc.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}

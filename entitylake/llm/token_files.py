@@ -22,7 +22,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import arrow_batches, shared_folder, slices, span_hashes, text_buffer
+from entitylake.llm.common import arrow_batches, shared_folder, slices, text_buffer
+from entitylake.llm.span_cache import SpanCache
 
 BLOCK = 512
 PERCENTILE = 0.9
 FILE_IDS = 32 << 20
 CHUNK_BLOCKS = 512
 END_ID = 2
-CACHE_PIECES = 500_000
 MAGIC = b"PFORIDS1"
 FILES = "task int, part int, file string, n_docs long, n_ids long, stored_bytes long"
 
@@ -69,63 +68,25 @@ def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-@dataclass
 class Encoder:
-    """Ids of texts by the tokenizer; remembers pieces, which changes no result."""
+    """Ids of texts by the tokenizer; equal pieces are encoded once."""
 
-    path: str
-    known: dict[int, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(self.path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known.clear()
-        self.at, self.length = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
-        self.flat, self.used = np.zeros(1 << 12, dtype=np.uint32), 0
-
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        for first in range(0, len(pieces), 20_000):
-            encoded = self.tokenizer.encode_batch_fast(pieces[first : first + 20_000], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum()))
-            slot = len(self.known)
-            self.known.update(zip(hashes[first : first + len(ids)], range(slot, slot + len(ids))))
-            while len(self.at) < slot + len(ids):
-                self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
-            while len(self.flat) < self.used + len(flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.length[slot : slot + len(ids)] = lengths
-            self.at[slot : slot + len(ids)] = self.used + np.cumsum(lengths) - lengths
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = SpanCache(self._encode)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum())), lengths
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, and their counts."""
         starts = _piece_starts(data, offsets)
-        if not len(starts):
-            n = len(offsets) - 1
-            return np.full(n, end_id, dtype=np.uint32), np.ones(n, dtype=np.int64)
-        ends = np.append(starts[1:], len(data))
-        different, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_PIECES:
-            self._forget()
-        hashes = different.tolist()
-        new = [k for k, h in enumerate(hashes) if h not in self.known]
-        raw = data.tobytes()
-        self._learn(
-            [hashes[k] for k in new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new].tolist()]
-        )
-        slots = np.fromiter((self.known[h] for h in hashes), dtype=np.int64, count=len(hashes))[which]
-        lengths = self.length[slots]
-        before = np.cumsum(lengths) - lengths
-        ids = self.flat[np.arange(int(lengths.sum())) + np.repeat(self.at[slots] - before, lengths)]
-        reach = np.append(before, len(ids))
+        ids, reach = self.pieces.ids(data, starts, np.append(starts[1:], len(data))[: len(starts)])
         bounds = reach[np.searchsorted(starts, offsets)]
         return np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1
 
