@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import decontamination, line_dedup, near_dup, pieces, quality_rules, sharding, token_files, warc
-from entitylake.llm.common import table
+from entitylake.llm import decontamination, line_dedup, near_dup, pieces, quality_rules, ranking, sharding, token_files, warc
+from entitylake.llm.common import id_text_crc, table
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,13 @@ def op7_piece_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_preference_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ranking.score(docs, ranking.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(id_text_crc() % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -55,7 +62,7 @@ def op10_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op5_hamming_join, op7_piece_paths,
+    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op5_hamming_join, op7_piece_paths, op8_preference_ranking,
               op9_positional_index, op10_pfor_ids)
 }
 ORACLES = {"op4_zstd_archives": warc.ORACLE, "op5_hamming_join": near_dup.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}
