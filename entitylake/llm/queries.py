@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import decontamination, line_dedup, near_dup, pieces, quality_rules, ranking, sharding, token_files, warc
+from entitylake.llm import decontamination, hmm, line_dedup, near_dup, pieces, quality_rules, ranking, sharding, token_files, warc
 from entitylake.llm.common import id_text_crc, table
 
 
@@ -32,6 +32,10 @@ def op5_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.plan(words=3, percent=85))
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
@@ -62,7 +66,7 @@ def op10_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op5_hamming_join, op7_piece_paths, op8_preference_ranking,
+    for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op5_hamming_join, op6_hidden_markov, op7_piece_paths, op8_preference_ranking,
               op9_positional_index, op10_pfor_ids)
 }
 ORACLES = {"op4_zstd_archives": warc.ORACLE, "op5_hamming_join": near_dup.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}
