@@ -315,7 +315,8 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: Plan) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of ``docs`` (doc_id, text);
+    ``text_hash`` is ``xxhash64`` of the text, which with doc_id names the row."""
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, text_hash long, n_shingles long, a long, b long, mark binary"
@@ -333,9 +334,10 @@ def near_duplicates(docs: DataFrame, p: Plan) -> DataFrame:
     named = named.withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = named.join(firsts, "component").select("a", "b", "n_shingles", "component_id")
-    joined = facts.select("doc_id", "n_shingles", "a", "b").join(known, ["a", "b", "n_shingles"], "left")
+    joined = facts.select("doc_id", "text_hash", "n_shingles", "a", "b").join(known, ["a", "b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 ORACLE = r"""

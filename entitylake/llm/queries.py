@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ def op4_zstd_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.plan(words=3, percent=85))
+    named = near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.plan(words=3, percent=85))
+    return named.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +70,5 @@ QUERIES = {
     q.__name__: q
     for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op5_hamming_join, op6_hidden_markov, op7_piece_paths, op8_preference_ranking,
               op9_positional_index, op10_pfor_ids)
-}
+} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op4_zstd_archives": warc.ORACLE, "op5_hamming_join": near_dup.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}
