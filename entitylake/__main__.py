@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import argparse
 from datetime import date
+from typing import get_type_hints
+
+from pyspark.sql import DataFrame
 
 from entitylake.plans import jobs
 from entitylake.plans.reports import REPORTS
@@ -27,8 +30,29 @@ def _pairs(values: list[str]) -> dict[str, str]:
     return dict(v.split("=", 1) for v in values)
 
 
-def _typed(value: str) -> str | int:
-    return int(value) if value.isdigit() else value
+def _typed(report: str, values: dict[str, str]) -> dict[str, str | int]:
+    """Parameters in the types the report declares; names it does not know are left to it."""
+    wanted = get_type_hints(REPORTS[report])
+    return {k: int(v) if wanted.get(k) is int else v for k, v in values.items()}
+
+
+def _table_options(values: list[str]) -> dict[str, dict[str, str]]:
+    """``TABLE:NAME=VALUE`` by table."""
+    options: dict[str, dict[str, str]] = {}
+    for value in values:
+        table, _, pair = value.partition(":")
+        name, _, setting = pair.partition("=")
+        if not (table and name):
+            raise ValueError(f"{value!r} is not TABLE:NAME=VALUE")
+        options.setdefault(table, {})[name] = setting
+    return options
+
+
+def show_all(df: DataFrame) -> None:
+    """All rows, tab-separated; one partition at a time is held."""
+    print(*df.columns, sep="\t")
+    for row in df.toLocalIterator():
+        print(*("" if value is None else value for value in row), sep="\t")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,6 +60,10 @@ def parser() -> argparse.ArgumentParser:
     result.add_argument("--store", default="table", help="table, jdbc or a file format such as parquet")
     result.add_argument("--root", help="folder of a file store")
     result.add_argument("--option", action="append", default=[], metavar="NAME=VALUE", help="store option")
+    result.add_argument(
+        "--table-option", action="append", default=[], metavar="TABLE:NAME=VALUE",
+        help="read option of one table, such as partitionColumn of a large JDBC table",
+    )
     commands = result.add_subparsers(dest="command", required=True)
     for name in JOBS:
         job = commands.add_parser(name)
@@ -80,18 +108,19 @@ def run(args: argparse.Namespace, store: LayerStore) -> None:
         case "article-sentiment":
             jobs.publish_sentiment(store)
         case "report":
-            parameters = {k: _typed(v) for k, v in _pairs(args.parameter).items()}
+            parameters = _typed(args.name, _pairs(args.parameter))
             result = REPORTS[args.name](jobs.report_tables(store), **parameters)
             if args.output:
                 result.write.mode("overwrite").parquet(args.output)
             else:
-                result.show(100, truncate=False)
+                show_all(result)
 
 
 def main(arguments: list[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = session(f"entitylake {args.command}")
-    run(args, LayerStore(spark, args.store, args.root, _pairs(args.option)))
+    options, of_tables = _pairs(args.option), _table_options(args.table_option)
+    run(args, LayerStore(spark, args.store, args.root, options, of_tables))
 
 
 if __name__ == "__main__":

@@ -6,9 +6,9 @@ of two texts that match at threshold ``t``, they share at least
 occurrence of a gram counts as a token of its own). So:
 
 1. only distinct texts are compared; keys are joined back at the end,
-2. the tokens of a text are put in one global order, rarest first; two matching
-   texts must then share one of their first few tokens, and that token is the
-   equi-join key,
+2. the tokens of a text are put in one global order, rarest first by their number
+   of texts; two matching texts must then share one of their first few tokens,
+   and that token is the equi-join key,
 3. a token many texts hold ("hot") never is a key alone: because everything
    after it in the order is hot too, a matching pair also shares a second hot
    token, and the key is the pair of both. This splits the large groups,
@@ -16,7 +16,7 @@ occurrence of a gram counts as a token of its own). So:
    shuffle is needed to remove duplicates,
 5. length, a bit vector of the characters, then bounded Levenshtein distance
    (none of them ever above the insert/delete distance) sort out pairs before
-   the exact ratio decides.
+   the exact ratio decides; the distance is measured under that one key only.
 
 Texts too short for shared bigrams to be certain go through the same steps
 with single characters as tokens. Keys that still have many texts are cut into
@@ -40,18 +40,15 @@ from entitylake.functions.similarity import (
 )
 from entitylake.operators.hot_keys import CHUNK_ROWS, hot_grid, with_cells
 
-# A token held by more texts than this counts as hot. At most HOT_TOKENS of
-# them, the most frequent ones, are kept: that bounds the broadcast table, and
-# tokens beyond it merely stay single keys.
+# A token held by more texts than this counts as hot.
 HOT_ROWS = 2000
-HOT_TOKENS = 4096
 
 # Pairs with a text longer than this meet under single tokens only: the number
 # of token pairs grows with the square of the length.
 LONG_TEXT = 64
 
-# Partitions of the computing stages, as a multiple of the shuffle partitions.
-TASKS_PER_PARTITION = 4
+# Keys of one text that are listed in one row when pairs of texts become pairs of keys.
+CHUNK_KEYS = 500
 
 _EPSILON = 1e-9  # keeps rounded-up bounds on the safe (lower) side
 
@@ -153,15 +150,6 @@ def _exploded_tokens(texts: DataFrame, bounds: _Bounds) -> DataFrame:
     )
 
 
-def _tasks(df: DataFrame) -> int:
-    """Partitions for stages whose work is in computing, not in bytes.
-
-    Adaptive execution would put so few bytes into few partitions; a number
-    given explicitly is kept.
-    """
-    return TASKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _texts(df: DataFrame, text: str) -> DataFrame:
     """The different texts of a column; alike wherever used, so that its shuffle runs once."""
     return df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
@@ -171,7 +159,7 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     """(text, n, bag): the different texts with length and characters."""
     return (
         _texts(df, text)
-        .repartition(_tasks(df), "text")
+        .repartition("text")
         # Never null by construction: otherwise null checks that Catalyst infers from
         # the join would compute both for every row below the distinct.
         .withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
@@ -179,30 +167,17 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _hot_tokens(tokens: DataFrame, hot_rows: int, hot_tokens: int) -> DataFrame:
-    return (
-        tokens.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > hot_rows)
-        .orderBy(F.desc("rows"), "token")
-        .limit(hot_tokens)
-    )
+def _token_rows(tokens: DataFrame) -> DataFrame:
+    """(token, rows): the number of texts that hold each token."""
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _signatures(tokens: DataFrame, hot: DataFrame, bounds: _Bounds) -> DataFrame:
-    """(text, n, bag, bigrams, prefix, rare, key): one row per join key of a text.
-
-    The texts arrive partitioned by text, so putting a text's tokens back
-    together needs no further shuffle.
-    """
+def _signatures(tokens: DataFrame, token_rows: DataFrame, bounds: _Bounds, hot_rows: int) -> DataFrame:
+    """(text, n, bag, bigrams, prefix, rare, key): one row per join key of a text."""
     ordered = (
-        tokens.join(F.broadcast(hot), "token", "left")
+        tokens.join(token_rows, "token")
         .groupBy("text", "n", "bag", "bigrams")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "token"))
-            ).alias("ordered")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("ordered"))
     )
     n, bigrams = F.col("n"), F.col("bigrams")
     smallest = bounds.shortest_sum(n)
@@ -236,7 +211,7 @@ def _signatures(tokens: DataFrame, hot: DataFrame, bounds: _Bounds) -> DataFrame
     return (
         ordered.withColumn("prefix_size", prefix)
         .withColumn("head", F.slice("ordered", F.lit(1), F.col("prefix_size") + 1))
-        .withColumn("rare", F.size(F.filter("head", lambda x: x["rows"] == 0)))
+        .withColumn("rare", F.size(F.filter("head", lambda x: x["rows"] <= hot_rows)))
         .select(
             "text", "n", "bag", "bigrams", token.alias("prefix"), "rare",
             F.explode(F.array_distinct(F.concat(singles, pairs, hot_singles))).alias("key"),
@@ -249,9 +224,10 @@ def _blocked_pairs(
 ) -> DataFrame:
     """Unequal matching texts with their score, each pair once; no ``right`` means within ``left``."""
     grid = hot_grid(left, right, "key", chunk_rows=chunk_rows)
-    one, two = with_cells(left, left if right is None else right, grid, "key", "text")
-    a = one.repartition(_tasks(left), "key", "cell").alias("a")
-    b = two.repartition(_tasks(left), "key", "cell").hint("merge").alias("b")
+    one, two = with_cells(left, left if right is None else right, grid, "key", "text", half=right is None)
+    a = one.alias("a")
+    # Not to be broadcast on the size estimate: the pairs are worth spreading out.
+    b = two.hint("shuffle_hash").alias("b")
     n, m, bigrams = F.col("a.n"), F.col("b.n"), F.col("a.bigrams")
     total = n + m
     most = bounds.max_distance(total)
@@ -275,10 +251,14 @@ def _blocked_pairs(
         & (F.col("a.cell") == F.col("b.cell"))
         & (F.abs(n - m) <= most)
         & (F.bit_count(F.col("a.bag").bitwiseXOR(F.col("b.bag"))) <= most)
-        & (F.col("a.text") < F.col("b.text") if right is None else F.col("a.text") != F.col("b.text"))
+        & (
+            F.when(F.col("a.diagonal"), F.col("a.text") < F.col("b.text")).otherwise(F.lit(True))
+            if right is None
+            else F.col("a.text") != F.col("b.text")
+        )
         & (bigrams == (total > F.lit(float(bounds.shortest_bigram_sum))))
-        & (edits >= 0)
         & (home == F.col("a.key"))
+        & (edits >= 0)
     )
     x, y = F.col("left_text"), F.col("right_text")
     return (
@@ -318,7 +298,6 @@ def similar_texts(
     text: str,
     threshold: float = 80,
     hot_rows: int = HOT_ROWS,
-    hot_tokens: int = HOT_TOKENS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Pairs ``(left_text, right_text, score)`` of distinct texts that match.
@@ -330,8 +309,7 @@ def similar_texts(
     mine = _measured(left, text)
     my_tokens = _exploded_tokens(mine, bounds)
     if right is None:
-        hot = _hot_tokens(my_tokens, hot_rows, hot_tokens)
-        signatures = _signatures(my_tokens, hot, bounds)
+        signatures = _signatures(my_tokens, _token_rows(my_tokens), bounds, hot_rows)
         once = _blocked_pairs(signatures, None, bounds, chunk_rows)
         # Both orders from one row, instead of a union that would compute the pairs twice.
         x, y = F.col("left_text"), F.col("right_text")
@@ -344,9 +322,12 @@ def similar_texts(
     else:
         theirs = _measured(right, text)
         their_tokens = _exploded_tokens(theirs, bounds)
-        hot = _hot_tokens(my_tokens.unionByName(their_tokens), hot_rows, hot_tokens)
+        rows = _token_rows(my_tokens.select("token").unionByName(their_tokens.select("token")))
         unequal = _blocked_pairs(
-            _signatures(my_tokens, hot, bounds), _signatures(their_tokens, hot, bounds), bounds, chunk_rows
+            _signatures(my_tokens, rows, bounds, hot_rows),
+            _signatures(their_tokens, rows, bounds, hot_rows),
+            bounds,
+            chunk_rows,
         )
         equal = _texts(left, text).join(_texts(right, text), "text")
     equal = equal.select(
@@ -376,6 +357,24 @@ def fuzzy_self_join(
     return _with_keys(pairs, df, df, text, key, F.col("left_key") != F.col("right_key"))
 
 
+def _key_lists(df: DataFrame, text: str, key: str, side: str, chunk_keys: int) -> DataFrame:
+    """({side}_text, {side}_part, {side}_keys): the keys of a text in lists of about ``chunk_keys``."""
+    rows = df.select(F.col(text).alias(f"{side}_text"), F.col(key).alias("key")).where(F.col(text).isNotNull())
+    parts = (
+        rows.groupBy(f"{side}_text")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where(F.col("rows") > chunk_keys)
+        .select(f"{side}_text", F.ceil(F.col("rows") / chunk_keys).cast("int").alias("parts"))
+    )
+    part = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int")
+    return (
+        rows.join(parts, f"{side}_text", "left")
+        .groupBy(f"{side}_text", part.alias(f"{side}_part"))
+        # In a struct, as a list leaves out bare nulls.
+        .agg(F.collect_list(F.struct("key")).alias(f"{side}_keys"))
+    )
+
+
 def _with_keys(
     pairs: DataFrame,
     left: DataFrame,
@@ -383,21 +382,32 @@ def _with_keys(
     text: str,
     key: str,
     condition: Column | None = None,
+    chunk_keys: int = CHUNK_KEYS,
 ) -> DataFrame:
-    mine = left.select(F.col(text).alias("left_text"), F.col(key).alias("left_key"))
-    theirs = right.select(F.col(text).alias("right_text"), F.col(key).alias("right_key"))
-    match = F.col("pairs.right_text") == F.col("theirs.right_text")
+    """All pairs of keys behind the pairs of texts.
+
+    The keys of a text come in lists, and each pair of lists is dealt to a task
+    by its place before it is spelled out, so a text that very many rows share
+    gives its rows from many tasks. Their number is given: in bytes the lists are
+    few, and adaptive execution would put them into one task.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = (
+        pairs.join(_key_lists(left, text, key, "left", chunk_keys), "left_text")
+        .join(_key_lists(right, text, key, "right", chunk_keys), "right_text")
+        .repartition(tasks, "left_text", "right_text", "left_part", "right_part")
+    )
+    rows = (
+        lists.select("left_text", "right_text", "score", "right_keys", F.explode("left_keys").alias("l"))
+        .select("left_text", "right_text", "score", "l", F.explode("right_keys").alias("r"))
+        .select(F.col("l.key").alias("left_key"), F.col("r.key").alias("right_key"), "left_text", "right_text", "score")
+    )
     if condition is not None:
-        match = match & condition
-    return (
-        pairs.join(mine, "left_text")
-        .alias("pairs")
-        .join(theirs.alias("theirs"), match)
-        .select(
-            "left_key",
-            "right_key",
-            F.lit(True).alias("match"),
-            match_string(F.col("left_text"), F.col("pairs.right_text")).alias("match_string"),
-            "score",
-        )
+        rows = rows.where(condition)
+    return rows.select(
+        "left_key",
+        "right_key",
+        F.lit(True).alias("match"),
+        match_string(F.col("left_text"), F.col("right_text")).alias("match_string"),
+        "score",
     )

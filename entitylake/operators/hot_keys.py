@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows per chunk, and the number of keys that are cut: the heaviest ones, which
-# bounds the broadcast table. Any other key stays one cell and is joined whole.
+# Rows per chunk.
 CHUNK_ROWS = 4000
-HOT_KEYS = 10_000
 
 
 def hot_grid(
@@ -24,10 +22,11 @@ def hot_grid(
     key: str,
     counted: Column | None = None,
     chunk_rows: int = CHUNK_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """(key, l, r): chunks per side of the keys worth cutting. No ``right`` means both sides alike.
 
+    Every such key is in it: at most one for each ``chunk_rows`` rows.
+
     ``counted`` is what is counted per row, a column that is never null. Naming
     one that the sides carry anyway lets their shuffle be read again here.
     """
@@ -42,8 +41,6 @@ def hot_grid(
         sizes = loads(left, "left_rows").join(loads(right, "right_rows"), key)
     return (
         sizes.where(F.greatest("left_rows", "right_rows") > chunk_rows)
-        .orderBy(F.desc(F.col("left_rows").cast("double") * F.col("right_rows")), key)
-        .limit(hot_keys)
         .select(
             key,
             *[F.ceil(F.col(f"{side}_rows") / chunk_rows).cast("int").alias(side[0]) for side in ("left", "right")],
@@ -52,18 +49,26 @@ def hot_grid(
 
 
 def with_cells(
-    left: DataFrame, right: DataFrame, grid: DataFrame, key: str, item: str
+    left: DataFrame, right: DataFrame, grid: DataFrame, key: str, item: str, half: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the column ``cell`` to join on besides ``key``."""
+    """Both sides with the column ``cell`` to join on besides ``key``.
+
+    ``half`` is for a frame with itself, cut alike on both sides: only cells of
+    a chunk with itself or a later one are made, and ``diagonal`` tells the former,
+    in which rows meet in both orders.
+    """
     l, r = F.coalesce("l", F.lit(1)), F.coalesce("r", F.lit(1))
 
-    def cells(df: DataFrame, own: Column, other: Column, cell) -> DataFrame:
-        gridded = df.join(F.broadcast(grid), key, "left")
-        chunk = F.pmod(F.xxhash64(item), own)
-        each = F.transform(F.sequence(F.lit(0), other - 1), lambda o: cell(chunk, o))
-        return gridded.withColumn("cell", F.explode(each)).drop("l", "r")
+    def cells(df: DataFrame, own: Column, others, cell) -> DataFrame:
+        gridded = df.join(grid, key, "left")
+        chunk = F.pmod(F.xxhash64(item), own).cast("int")
+        each = F.transform(others(chunk), lambda o: F.struct(cell(chunk, o).alias("cell"), (chunk == o).alias("diagonal")))
+        out = gridded.withColumn("_cell", F.explode(each)).drop("l", "r")
+        named = out.withColumn("cell", F.col("_cell.cell"))
+        return (named.withColumn("diagonal", F.col("_cell.diagonal")) if half else named).drop("_cell")
 
+    zero = F.lit(0)
     return (
-        cells(left, l, r, lambda chunk, o: chunk * r + o),
-        cells(right, r, l, lambda chunk, o: o * r + chunk),
+        cells(left, l, lambda c: F.sequence(c if half else zero, r - 1), lambda chunk, o: chunk * r + o),
+        cells(right, r, lambda c: F.sequence(zero, c if half else l - 1), lambda chunk, o: o * r + chunk),
     )

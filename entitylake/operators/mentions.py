@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from entitylake.functions.text import name_tokens
 from entitylake.schemas import MENTIONS
 
-# Dictionaries up to this many phrases are broadcast, larger ones are shuffled.
-BROADCAST_PHRASES = 200_000
+# Dictionaries up to this many bytes are sent to all executors, larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 
-Extractor = Callable[[str], Sequence[tuple[str, str]]]
+# From a batch of texts to the (mention, type) pairs of each.
+Extractor = Callable[[Sequence[str]], Sequence[Sequence[tuple[str, str]]]]
 
 
 def entity_type(column: str) -> Column:
@@ -35,36 +36,49 @@ def _dictionary(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _spans(texts: DataFrame, dictionary: DataFrame, lengths: Sequence[int], small: bool) -> DataFrame:
+def _bytes(dictionary: DataFrame) -> DataFrame:
+    """Bytes of the dictionary and tokens of its longest phrase, one row."""
+    label = F.aggregate(
+        "labels", F.lit(0), lambda n, x: n + F.length(x["phrase"]) + F.length(F.coalesce(x["type"], F.lit(""))) + 32
+    )
+    own = F.length(F.array_join("parts", "")) + F.size("parts") * 16 + 32
+    return dictionary.agg(
+        F.sum((label + own).cast("long") * 2).alias("size"), F.max(F.size("parts")).alias("longest")
+    )
+
+
+def _spans(texts: DataFrame, dictionary: DataFrame, longest: int, small: bool) -> DataFrame:
     """(key, field, text_id, start, end, labels): where a run of tokens is a dictionary phrase.
 
-    Runs are looked up whole, so it does not matter how many phrases begin with
-    the same token. With a small dictionary both lookups are broadcast and only
-    positions whose token begins a phrase give runs, of the lengths such
-    phrases have; with a large one every run of a length in the dictionary is
-    a key of a shuffled join.
+    Only positions whose token begins a phrase give runs, of the lengths such
+    phrases have, and runs are looked up whole, so it does not matter how many
+    phrases begin with the same token. A position goes on with no more tokens than
+    the longest phrase has. A small dictionary is broadcast for both
+    lookups; with a large one Spark joins the first tokens as it sees fit, and runs
+    by their hash.
     """
-    positions = texts.select(
-        "key", "field", "text_id", "tokens", F.posexplode("tokens").alias("start", "first")
+    ahead = F.transform(
+        "tokens", lambda first, i: F.struct(i.alias("start"), first.alias("first"), F.slice("tokens", i + 1, longest).alias("ahead"))
     )
-    if small:
-        beginnings = dictionary.groupBy(F.element_at("parts", 1).alias("first")).agg(
-            F.collect_set(F.size("parts")).alias("lengths")
-        )
-        positions = positions.join(F.broadcast(beginnings), "first")
-        dictionary = F.broadcast(dictionary)
-    else:
-        positions = positions.withColumn("lengths", F.array(*[F.lit(n) for n in lengths]))
-    end = F.col("start") + F.col("length")
+    positions = texts.select("key", "field", "text_id", F.explode(ahead).alias("p")).select(
+        "key", "field", "text_id", "p.start", "p.first", "p.ahead"
+    )
+    beginnings = dictionary.groupBy(F.element_at("parts", 1).alias("first")).agg(
+        F.collect_set(F.size("parts")).alias("lengths")
+    )
+    phrases = dictionary.withColumn("run", F.xxhash64("parts"))
+    hint = F.broadcast if small else lambda df: df.hint("merge")
+    parts = F.slice("ahead", 1, F.col("length"))
     return (
-        positions.withColumn("length", F.explode("lengths"))
-        .where(end <= F.size("tokens"))
+        positions.join(hint(beginnings), "first")
+        .withColumn("length", F.explode("lengths"))
+        .where(F.col("length") <= F.size("ahead"))
         .select(
-            "key", "field", "text_id", "start", end.alias("end"),
-            F.slice("tokens", F.col("start") + 1, F.col("length")).alias("parts"),
+            "key", "field", "text_id", "start", (F.col("start") + F.col("length")).alias("end"),
+            parts.alias("parts"), F.xxhash64(parts).alias("run"),
         )
-        .join(dictionary, "parts")
-        .drop("parts")
+        .join(hint(phrases), ["run", "parts"])
+        .drop("run", "parts")
     )
 
 
@@ -73,7 +87,7 @@ def extract_mentions(
     key: str,
     columns: Sequence[str],
     gazetteer: DataFrame,
-    broadcast_phrases: int = BROADCAST_PHRASES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Distinct ``(uri, entity_text, entity_type)`` of the dictionary phrases in the text columns.
 
@@ -83,17 +97,15 @@ def extract_mentions(
     Texts are never shuffled: only matches are.
     """
     dictionary = _dictionary(gazetteer)
-    # One small job on the dictionary decides how it is joined.
-    size = dictionary.agg(
-        F.count(F.lit(1)).alias("phrases"), F.collect_set(F.size("parts")).alias("lengths")
-    ).first()
+    # One small job on the dictionary tells how it can be joined.
+    found = _bytes(dictionary).first()
     fields = F.array(*[F.col(c) for c in columns])
     texts = (
         df.select(F.col(key).alias("key"), F.posexplode(fields).alias("field", "text"))
         .where(F.col("text").isNotNull())
         .select("key", "field", F.xxhash64("text").alias("text_id"), name_tokens(F.col("text")).alias("tokens"))
     )
-    spans = _spans(texts, dictionary, sorted(size["lengths"]), size["phrases"] <= broadcast_phrases)
+    spans = _spans(texts, dictionary, found["longest"] or 1, (found["size"] or 0) <= broadcast_bytes)
     # Copies of a text under one key fold together before the window, so a
     # window holds at most the matches of one text.
     spans = spans.distinct()
@@ -120,8 +132,8 @@ def extract_with_model(
 ) -> DataFrame:
     """As :func:`extract_mentions`, with a model instead of a dictionary.
 
-    ``load`` is called once per task and returns a function from a text to its
-    ``(mention, type)`` pairs. Empty and missing texts never reach the model.
+    ``load`` is called once per task and returns a function from a batch of texts
+    to the ``(mention, type)`` pairs of each. Empty and missing texts never reach the model.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,8 +141,8 @@ def extract_with_model(
         for batch in batches:
             rows = [
                 (uri, mention, kind)
-                for uri, text in zip(batch["uri"], batch["text"], strict=True)
-                for mention, kind in extract(text)
+                for uri, found in zip(batch["uri"], extract(batch["text"].tolist()), strict=True)
+                for mention, kind in found
             ]
             yield pd.DataFrame(rows, columns=MENTIONS.names)
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.operators.hot_keys import CHUNK_ROWS, HOT_KEYS, hot_grid, with_cells
+from entitylake.operators.hot_keys import CHUNK_ROWS, hot_grid, with_cells
 
 
 def fold(df: DataFrame, key: str, item: str, *extra: str | Column) -> DataFrame:
@@ -25,6 +25,14 @@ def fold(df: DataFrame, key: str, item: str, *extra: str | Column) -> DataFrame:
     )
 
 
+def in_keys(folded: DataFrame, least: int) -> DataFrame:
+    """The rows of items that are under ``least`` keys or more."""
+    if least <= 1:
+        return folded
+    often = folded.groupBy("item").agg(F.count_distinct("key").alias("keys")).where(F.col("keys") >= least)
+    return folded.join(often.select("item"), "item", "left_semi")
+
+
 def pairs_under_key(
     left: DataFrame,
     right: DataFrame,
@@ -33,7 +41,6 @@ def pairs_under_key(
     loads: DataFrame | None = None,
     weighted: bool = True,
     chunk_rows: int = CHUNK_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Join two folded frames on ``key``, item of the left < item of the right.
 
@@ -49,7 +56,6 @@ def pairs_under_key(
         "key",
         counted=F.when(F.col("weight") > 0, F.lit(1)) if weighted else None,
         chunk_rows=chunk_rows,
-        hot_keys=hot_keys,
     )
     one, two = with_cells(left, right, grid, "key", "item")
     on = F.col("one.item") < F.col("two.item")
@@ -58,7 +64,7 @@ def pairs_under_key(
     if condition is not None:
         on = on & condition
     # Not to be broadcast on the size estimate: the pairs are worth spreading out.
-    return one.alias("one").join(two.hint("merge").alias("two"), on)
+    return one.alias("one").join(two.hint("shuffle_hash").alias("two"), on)
 
 
 def pair_weight() -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from entitylake.functions.similarity import bind
 from entitylake.functions.text import first_words, name_tokens
 
-MAX_WORDS = 512  # a text is scored on its first 512 words, as the model input is
+MAX_WORDS = 512  # words a model takes of a text; word lists read all of it
 
 Scorer = Callable[[Sequence[str]], Sequence[tuple[float, str]]]
 
@@ -25,10 +25,8 @@ def normal_label(label: Column) -> Column:
     )
 
 
-def sentiment(
-    text: Column, positive: Collection[str], negative: Collection[str], max_words: int = MAX_WORDS
-) -> Column:
-    """Struct ``(score float, label)`` from the words of both lists found in the text.
+def sentiment(text: Column, positive: Collection[str], negative: Collection[str]) -> Column:
+    """Struct ``(score float, label)`` from the words of both lists found in the whole text.
 
     The label is the side with more words, the score its lead over the other in
     relation to all words found. No words, or no text, is (0, NEUTRAL). Plain
@@ -52,18 +50,14 @@ def sentiment(
             ),
         )
 
-    return bind(name_tokens(F.lower(first_words(F.coalesce(text, F.lit("")), max_words))), rate)
+    return bind(name_tokens(F.lower(F.coalesce(text, F.lit("")))), rate)
 
 
 def score_sentiment(
-    df: DataFrame,
-    text: str,
-    positive: Collection[str],
-    negative: Collection[str],
-    max_words: int = MAX_WORDS,
+    df: DataFrame, text: str, positive: Collection[str], negative: Collection[str]
 ) -> DataFrame:
     """The rows with ``sentiment_score`` and ``sentiment_label`` added; no shuffle."""
-    rated = df.withColumn("_sentiment", sentiment(F.col(text), positive, negative, max_words))
+    rated = df.withColumn("_sentiment", sentiment(F.col(text), positive, negative))
     return rated.select(
         *df.columns,
         F.col("_sentiment.score").alias("sentiment_score"),
@@ -72,13 +66,13 @@ def score_sentiment(
 
 
 def score_with_model(
-    df: DataFrame, text: str, load: Callable[[], Scorer], max_words: int = MAX_WORDS
+    df: DataFrame, text: str, load: Callable[[], Scorer], max_words: int | None = MAX_WORDS
 ) -> DataFrame:
     """As :func:`score_sentiment`, with a model.
 
     ``load`` is called once per task and returns a function that scores a batch
-    of texts. Texts are shortened in the JVM; empty ones and texts the model
-    fails on are (0, NEUTRAL).
+    of texts. Texts are shortened in the JVM to what the model takes (``max_words``, or
+    None for all of it); empty ones and texts the model fails on are (0, NEUTRAL).
     """
     schema = T.StructType(
         [f for f in df.schema.fields]
@@ -105,5 +99,6 @@ def score_with_model(
                 sentiment_score=[float(s) for s, _ in rated], sentiment_label=[name for _, name in rated]
             )
 
-    scored = df.withColumn("_text", first_words(F.col(text), max_words)).mapInPandas(run, schema)
+    given = F.col(text) if max_words is None else first_words(F.col(text), max_words)
+    scored = df.withColumn("_text", given).mapInPandas(run, schema)
     return scored.withColumn("sentiment_label", normal_label(F.col("sentiment_label")))

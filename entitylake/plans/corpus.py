@@ -7,12 +7,15 @@ after them) the dictionary of names.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylake.functions.keys import composite_key
-from entitylake.operators.mentions import extract_mentions
-from entitylake.operators.sentiment import score_sentiment
+from entitylake.operators.mentions import Extractor, extract_mentions
+from entitylake.operators.sentiment import Scorer, score_sentiment
 from entitylake.plans.star import table
 
 # Fixed words for scoring the corpus.
@@ -101,6 +104,41 @@ def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def spelled_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels in the spellings of a model: quality for the side, toxic for its strength."""
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    spelled = (
+        F.when(good & toxic, " positive")
+        .when(good, "Very Positive")
+        .when(toxic, "VERY NEGATIVE")
+        .otherwise("neutral")
+    )
+    return table(spark, folder, "labels").select("doc_id", spelled.alias("spelled"))
+
+
+def long_word_model() -> Extractor:
+    """Stands for an extraction model: words of a capital and eight or more small letters."""
+    word = re.compile("[A-Z][a-z]{8,}")
+    kinds = ("PERSON", "ORG", "GPE", "DATE")
+
+    def extract(texts: Sequence[str]) -> list[list[tuple[str, str]]]:
+        return [[(w, kinds[len(w) % 4]) for w in text.split(" ") if word.fullmatch(w)] for text in texts]
+
+    return extract
+
+
+def exclamation_model() -> Scorer:
+    """Stands for a sentiment model: exclamation marks are negative, many of them very much so."""
+
+    def rate(text: str) -> tuple[float, str]:
+        marks = text.count("!")
+        if not marks:
+            return 0.5, "Very Positive"
+        return (1.0, "Very Negative") if marks > 8 else (marks / 8, "negative")
+
+    return lambda texts: [rate(text) for text in texts]
+
+
 def landed_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Events in the form of API responses: the user is the entity, the event the article."""
     key = F.col("event_id").cast("string")

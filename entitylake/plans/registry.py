@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylake.functions.keys import composite_key
+from entitylake.functions.similarity import fuzzy_match
 from entitylake.functions.text import first_words, word_count
 from entitylake.operators import evaluation
 from entitylake.operators.fuzzy_join import fuzzy_join, similar_texts
+from entitylake.operators.mentions import extract_with_model
+from entitylake.operators.sentiment import normal_label, score_with_model
 from entitylake.plans import corpus, layers, star
-from entitylake.sources.articles import flatten_responses, in_window, most_relevant, one_per_key
+from entitylake.sources.articles import flatten_responses, in_window, one_per_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +47,9 @@ def keyed_known_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def article_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Responses to articles: flatten, seven-day window, top of each entity, one per key."""
+    """Responses to articles: flatten, seven-day window, one per key."""
     flat = flatten_responses(corpus.landed_responses(spark, folder), datetime(2024, 1, 31))
-    return one_per_key(most_relevant(in_window(flat, date(2024, 1, 30), days_back=7)))
+    return one_per_key(in_window(flat, date(2024, 1, 30), days_back=7))
 
 
 @query
@@ -62,7 +65,7 @@ def article_mentions(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def article_mentions_large_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """The same mentions on the path for dictionaries too large to broadcast."""
-    return corpus.article_mentions(spark, folder, broadcast_phrases=0)
+    return corpus.article_mentions(spark, folder, broadcast_bytes=0)
 
 
 @query
@@ -112,7 +115,7 @@ def similar_words_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fuzzy_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Part words matched with the words of nation names, with the keys of both."""
+    """Names of entities and their words matched with the words of part names, with the keys of both."""
     parts = (
         star.table(spark, folder, "part")
         .select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
@@ -124,6 +127,39 @@ def fuzzy_matches(spark: SparkSession, folder: str) -> DataFrame:
     return fuzzy_join(phrases, parts, "word", "key")
 
 
+@query
+def passage_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Each passage compared, whole, with the one after it."""
+    passages = star.table(spark, folder, "benchmark")
+    following = passages.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    found = fuzzy_match(F.col("text"), F.col("other"), threshold=52)
+    return (
+        passages.join(following, "item_id")
+        .withColumn("found", found)
+        .select("item_id", "found.match", "found.match_string", "found.score")
+    )
+
+
+@query
+def normal_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels as models spell them, in the vocabulary of the reports."""
+    return corpus.spelled_labels(spark, folder).select("doc_id", normal_label(F.col("spelled")).alias("label"))
+
+
+@query
+def model_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """The extraction hook with a batch function: long capitalised words."""
+    return extract_with_model(corpus.articles(spark, folder), "uri", ["content"], corpus.long_word_model)
+
+
+@query
+def model_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentiment hook with a batch function: exclamation marks, on whole texts."""
+    articles = corpus.articles(spark, folder).select("uri", "title", "content")
+    rated = score_with_model(articles, "content", corpus.exclamation_model, max_words=None)
+    return rated.select("uri", "title", "sentiment_score", "sentiment_label")
+
+
 def _source_mapping(spark: SparkSession, folder: str) -> DataFrame:
     return layers.source_mapping(
         corpus.known_mentions(spark, folder), corpus.article_mentions(spark, folder)

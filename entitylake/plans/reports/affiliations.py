@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions.measures import down, up
-from entitylake.operators.pairs import fold, pairs_under_key
+from entitylake.operators.pairs import fold, in_keys, pairs_under_key
 from entitylake.plans.reports.common import (
     ANY,
     Moment,
@@ -141,7 +141,8 @@ def news_relevance_over_time(
 @report
 def related_entities(tables: ReportTables, *, entity_type: str = ANY) -> DataFrame:
     """The twenty pairs of entities found together in most articles, in two at least."""
-    items = fold(keep(tables.mentions, is_one_of("entity_type", entity_type)), "source_uri", "entity_name")
+    mentions = keep(tables.mentions, is_one_of("entity_type", entity_type))
+    items = in_keys(fold(mentions, "source_uri", "entity_name"), 2)
     return (
         pairs_under_key(items, items, weighted=False)
         # One row per article and pair, so counting rows counts articles.

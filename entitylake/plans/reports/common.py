@@ -123,14 +123,8 @@ def most_mentioned(tables: ReportTables, entity_type: str | None, n: int) -> Dat
     )
 
 
-BROADCAST_NAMES = 100_000
-
-
 def among_most_mentioned(
     df: DataFrame, tables: ReportTables, entity_type: str | None, n: int
 ) -> DataFrame:
-    """Rows of the most mentioned entities. The list has ``n`` rows, so its size is known."""
-    names = most_mentioned(tables, entity_type, n)
-    if n <= BROADCAST_NAMES:
-        names = F.broadcast(names)
-    return df.join(names, "entity_name", "left_semi")
+    """Rows of the most mentioned entities, a list of ``n`` names that Spark joins as it sees fit."""
+    return df.join(most_mentioned(tables, entity_type, n), "entity_name", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.functions.measures import LABELS, dominant_label, down, pearson, up
-from entitylake.operators.pairs import fold, pair_weight, pairs_under_key
+from entitylake.operators.pairs import fold, in_keys, pair_weight, pairs_under_key
 from entitylake.plans.reports.common import (
     ANY,
     Moment,
@@ -32,7 +32,9 @@ def _scored_pairs(
 
     An article's sentiment rows are folded into sums first, then a pair stands
     for weight x sums. The period bounds the left mention only. Types are kept
-    where the result or the type filter needs them.
+    where the result or the type filter needs them. Articles that cannot give a
+    pair, as they have no left mention or none of the wanted type, are left out
+    before the right side is folded.
     """
     typed = typed or entity_type != ANY
     types = ("entity_type",) if typed else ()
@@ -42,8 +44,15 @@ def _scored_pairs(
         F.count("sentiment_score").alias("scores"),
         *[label_count(label).alias(label.lower()) for label in LABELS],
     )
-    left = fold(mentions_in(tables, date_from, date_to), "source_uri", "entity_name", *types, *extra)
-    right = fold(tables.mentions, "source_uri", "entity_name", *types)
+    one, two = mentions_in(tables, date_from, date_to), tables.mentions
+    if entity_type != ANY:
+        typed_articles = two.where(F.col("entity_type") == entity_type).select("source_uri").distinct()
+        one = one.join(typed_articles, "source_uri", "left_semi")
+        two = two.join(typed_articles, "source_uri", "left_semi")
+    left = fold(one, "source_uri", "entity_name", *types, *extra)
+    if date_from is not None or date_to is not None:
+        two = two.join(left.select(F.col("key").alias("source_uri")).distinct(), "source_uri", "left_semi")
+    right = fold(two, "source_uri", "entity_name", *types)
     condition = None
     if entity_type != ANY:
         condition = (F.col("one.entity_type") == entity_type) | (
@@ -169,7 +178,8 @@ def sentiment_correlation(
 ) -> DataFrame:
     """Pairs of entities whose mean score varies alike across sources; the fifty clearest."""
     means = _mean_per_source(tables, entity_type, date_from, date_to)
-    items = fold(means, "source_name", "entity_name", "mean_score")
+    # An entity of fewer sources cannot share enough of them.
+    items = in_keys(fold(means, "source_name", "entity_name", "mean_score"), min_common_sources)
     r = F.col("sentiment_correlation")
     strength = (
         F.when(r >= 0.7, "Strong Positive")

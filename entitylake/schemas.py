@@ -10,10 +10,6 @@ def _strings(*names: str) -> list[T.StructField]:
 # Dictionary file as delivered; the loader adds the key.
 ENTITY_FILE = T.StructType(_strings("entity_name", "entity_type", "entity_description"))
 
-KNOWN_ENTITIES = T.StructType(
-    _strings("uri", "entity_name", "entity_type", "entity_description")
-)
-
 ARTICLES = T.StructType(
     [T.StructField("uri", T.StringType(), False)]
     + _strings(
@@ -44,12 +40,6 @@ ARTICLE_RESPONSE = T.StructType(
 
 MENTIONS = T.StructType(_strings("uri", "entity_text", "entity_type"))
 
-ARTICLE_SENTIMENT = T.StructType(
-    _strings("uri", "title")
-    + [T.StructField("sentiment_score", T.FloatType())]
-    + _strings("sentiment_label")
-)
-
 # Labelled sentences: the text and how many names of each type it holds.
 LABELLED_TEXT = T.StructType(
     _strings("data")

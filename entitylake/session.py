@@ -24,9 +24,9 @@ def session(app_name: str, **overrides: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     return folder

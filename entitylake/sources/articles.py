@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylake.functions.keys import composite_key
 from entitylake.schemas import ARTICLE_RESPONSE, ARTICLES
 
 LANGUAGE = "en"
-PER_ENTITY = 100  # articles a search returns at most
 
 
 def _published(text: Column) -> Column:
@@ -43,6 +42,10 @@ def flatten_responses(responses: DataFrame, ingested_at: datetime | Column) -> D
     )
 
 
+def in_language() -> Column:
+    return F.coalesce("language", F.lit(LANGUAGE)) == LANGUAGE
+
+
 def in_window(articles: DataFrame, as_of: date | datetime | Column, days_back: int) -> DataFrame:
     """Articles in the wanted language from the days up to ``as_of``.
 
@@ -52,7 +55,7 @@ def in_window(articles: DataFrame, as_of: date | datetime | Column, days_back: i
     day = F.to_date(as_of if isinstance(as_of, Column) else F.lit(as_of))
     published = F.to_date("published_at")
     return articles.where(
-        (F.coalesce("language", F.lit(LANGUAGE)) == LANGUAGE)
+        in_language()
         & (
             published.isNull()
             | ((published >= F.date_sub(day, days_back)) & (published <= day))
@@ -60,10 +63,13 @@ def in_window(articles: DataFrame, as_of: date | datetime | Column, days_back: i
     )
 
 
-def most_relevant(articles: DataFrame, limit: int = PER_ENTITY) -> DataFrame:
-    """The first ``limit`` articles of each entity in the order the search gave them."""
-    by_place = Window.partitionBy("entity_name").orderBy("place", "url", "uri")
-    return articles.withColumn("_n", F.row_number().over(by_place)).where(F.col("_n") <= limit).drop("_n")
+def most_relevant(articles: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` articles of each response, in the order the search gave them.
+
+    A page size: a landed response has been cut by the service, so the ingest
+    keeps all of it unless asked.
+    """
+    return articles.where(F.col("place") < limit)
 
 
 def one_per_key(articles: DataFrame) -> DataFrame:
@@ -92,8 +98,11 @@ def ingest_articles(
     as_of: date | datetime,
     days_back: int = 7,
     ingested_at: datetime | None = None,
+    per_response: int | None = None,
 ) -> DataFrame:
     """Articles of the landed responses, ready to append to the article table."""
     moment = ingested_at or datetime.now()
     flat = flatten_responses(read_responses(spark, path), moment)
-    return one_per_key(most_relevant(in_window(flat, as_of, days_back)))
+    if per_response is not None:
+        flat = most_relevant(flat, per_response)
+    return one_per_key(in_window(flat, as_of, days_back))

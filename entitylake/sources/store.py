@@ -16,12 +16,15 @@ class LayerStore:
     ``table``: catalog tables in a database per layer. ``parquet`` (or another
     file format): folders ``{root}/{layer}/{table}``. ``jdbc``: tables of that
     name in the database given by ``options`` (url, user, password, driver).
+    ``table_options`` are reader options by table name, so that jobs read a
+    large table in partitions.
     """
 
     spark: SparkSession
     format: str = "table"
     root: str | None = None
     options: dict[str, str] = field(default_factory=dict)
+    table_options: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def _path(self, name: str) -> str:
         if not self.root:
@@ -29,12 +32,13 @@ class LayerStore:
         return f"{self.root.rstrip('/')}/{name.replace('.', '/')}"
 
     def read(self, name: str, **options: str) -> DataFrame:
-        """A layer table; ``options`` go to the reader.
+        """A layer table; ``options`` go to the reader, besides those of the store and the table.
 
         For JDBC name at least ``partitionColumn``, ``lowerBound``,
         ``upperBound`` and ``numPartitions`` for a large table: without them
         one task reads all of it.
         """
+        options = {**self.table_options.get(name, {}), **options}
         if self.format == "table":
             return self.spark.read.options(**options).table(name)
         reader = self.spark.read.format(self.format).options(**{**self.options, **options})

@@ -15,29 +15,35 @@ from pyspark.sql.streaming import StreamingQuery
 
 from entitylake.schemas import ARTICLE_RESPONSE, ARTICLES
 from entitylake.session import shared_folder
-from entitylake.sources.articles import LANGUAGE, flatten_responses
+from entitylake.sources.articles import flatten_responses, in_language, in_window
 
 
-def article_stream(spark: SparkSession, landing: str, keep_for: str = "8 days") -> DataFrame:
-    """Articles from new files in ``landing``, each key once within ``keep_for``."""
+def article_stream(
+    spark: SparkSession, landing: str, keep_for: str = "8 days", days_back: int | None = None
+) -> DataFrame:
+    """Articles from new files in ``landing``, each key once within ``keep_for``.
+
+    With ``days_back`` the window of the batch ingest applies, up to the day a file is read.
+    """
     responses = spark.readStream.schema(ARTICLE_RESPONSE).json(landing)
+    flat = flatten_responses(responses, F.current_timestamp())
+    if days_back is None:
+        recent = flat.where(in_language())
+    else:
+        recent = in_window(flat, F.current_timestamp(), days_back)
     return (
-        flatten_responses(responses, F.current_timestamp())
-        .where(F.coalesce("language", F.lit(LANGUAGE)) == LANGUAGE)
-        .withWatermark("ingestion_timestamp", keep_for)
+        recent.withWatermark("ingestion_timestamp", keep_for)
         .dropDuplicatesWithinWatermark(["uri"])
         .select(*ARTICLES.names)
     )
 
 
-def append_stream(
-    articles: DataFrame, target: str, name: str = "articles", fallback_folder: str | None = None
-) -> StreamingQuery:
+def append_stream(articles: DataFrame, target: str, name: str = "articles") -> StreamingQuery:
     """Append to a Parquet folder what has landed, then stop; run it again for more.
 
     Progress is kept in the shared folder, apart for each target.
     """
-    folder = shared_folder(articles.sparkSession, fallback_folder)
+    folder = shared_folder(articles.sparkSession)
     progress = f"{folder}/{name}-{sha256(target.encode()).hexdigest()[:16]}"
     return (
         articles.writeStream.format("parquet")

@@ -114,7 +114,7 @@ rated AS (
   FROM (SELECT doc_id, source,
                len(list_filter(toks, lambda t: t IN ({word_list(POSITIVE)}))) AS p,
                len(list_filter(toks, lambda t: t IN ({word_list(NEGATIVE)}))) AS n
-        FROM (SELECT doc_id, source, regexp_extract_all(lower(kept), '{TOKEN}') AS toks FROM kept))
+        FROM (SELECT doc_id, source, regexp_extract_all(lower(text), '{TOKEN}') AS toks FROM documents))
 )"""
 
 
@@ -194,9 +194,6 @@ windowed AS (
   SELECT *, sha256(url || title || entity_name) AS uri FROM flat
   WHERE published_at IS NULL
      OR CAST(published_at AS DATE) BETWEEN DATE '2024-01-30' - 7 AND DATE '2024-01-30'
-),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY entity_name ORDER BY place, url, uri) AS k FROM windowed
 )"""
 
 _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
@@ -218,7 +215,7 @@ _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
         """SELECT DISTINCT uri, sha256(entity_name) AS entity_uri, entity_name, title, description,
                   NULL::VARCHAR AS content, url, source_name, NULL::VARCHAR AS author, published_at,
                   TIMESTAMP '2024-01-31' AS ingestion_timestamp
-           FROM ranked WHERE k <= 100""",
+           FROM windowed""",
         "", "published_at ingestion_timestamp",
     ),
     "known_mentions": (
@@ -237,7 +234,7 @@ _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
         "", "",
     ),
     "article_sentiment": (
-        [KEPT, RATED],
+        [RATED],
         "SELECT uri, title, sentiment_score, sentiment_label FROM rated",
         "sentiment_score", "",
     ),
@@ -266,6 +263,58 @@ _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
            JOIN (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) ON word = b""",
         "score", "",
     ),
+    "passage_matches": (
+        [
+            """
+neighbours AS (
+  SELECT x.item_id, x.text AS a, y.text AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1
+)""",
+            """
+row_dp(item_id, a, b, i, line) AS (
+  SELECT item_id, a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM neighbours
+  UNION ALL
+  SELECT item_id, a, b, i + 1,
+         list_reduce(range(1, length(b) + 1),
+                     lambda acc, j: list_append(acc,
+                       CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN line[j] + 1
+                            ELSE greatest(line[j + 1], acc[len(acc)]) END), [0])
+  FROM row_dp WHERE i < length(a)
+)""",
+            """
+rated AS (
+  SELECT item_id, a, b, (1.0::DOUBLE - (length(a) + length(b) - 2 * line[len(line)])::DOUBLE
+                         / (length(a) + length(b))) * 100.0 AS score
+  FROM row_dp WHERE i = length(a)
+)""",
+        ],
+        """SELECT item_id, score >= 52 AS match, CASE WHEN score >= 52 THEN a || ' == ' || b END AS match_string, score
+           FROM rated""",
+        "score", "",
+    ),
+    "normal_labels": (
+        ["l AS (FROM labels)"],
+        """SELECT doc_id, CASE WHEN quality = 1 THEN 'POSITIVE' WHEN toxic = 1 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label
+           FROM l""",
+        "", "",
+    ),
+    "model_mentions": (
+        [ARTICLES],
+        """SELECT DISTINCT uri, w AS entity_text,
+                  CASE length(w) % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' ELSE 'LOC' END AS entity_type
+           FROM (SELECT uri, unnest(string_split(content, ' ')) AS w FROM articles)
+           WHERE regexp_full_match(w, '[A-Z][a-z]{8,}') AND length(w) % 4 < 3""",
+        "", "",
+    ),
+    "model_sentiment": (
+        ["m AS (SELECT *, length(text) - length(replace(text, '!', '')) AS marks FROM documents)"],
+        """SELECT sha256(CAST(doc_id AS VARCHAR)) AS uri, source AS title,
+                  CASE WHEN coalesce(text, '') = '' THEN 0.0 WHEN marks = 0 THEN 0.5
+                       ELSE least(1.0, marks / 8.0) END::DOUBLE AS sentiment_score,
+                  CASE WHEN coalesce(text, '') = '' THEN 'NEUTRAL' WHEN marks = 0 THEN 'POSITIVE'
+                       ELSE 'NEGATIVE' END AS sentiment_label
+           FROM m""",
+        "sentiment_score", "",
+    ),
     "source_mapping": (SOURCE_MAPPING, "FROM smap", "score", ""),
     "entity_mapping": (ENTITY_MAPPING, "FROM emap", "score", ""),
     "gold_affiliations": ([*ENTITY_MAPPING, FORWARD], affiliation_rows(1, 2), "match_score", ""),
@@ -284,7 +333,7 @@ _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
         "match_score", "",
     ),
     "gold_article_sentiment": (
-        [KEPT, RATED],
+        [RATED],
         "SELECT DISTINCT uri, title, sentiment_score, sentiment_label FROM rated",
         "sentiment_score", "",
     ),

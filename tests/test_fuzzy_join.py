@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from entitylake.operators.fuzzy_join import fuzzy_join, fuzzy_self_join, similar_texts
 from tests.brute import matches
@@ -44,7 +45,7 @@ def pairs(df):
     [
         (80, {}),
         (80, {"hot_rows": 3}),  # nearly every token is hot
-        (80, {"hot_rows": 3, "hot_tokens": 10, "chunk_rows": 2}),  # and every key is cut
+        (80, {"hot_rows": 1, "chunk_rows": 2}),  # and every key is cut
         (90, {"hot_rows": 5, "chunk_rows": 3}),
         (100, {}),
         (70, {"hot_rows": 5}),
@@ -84,6 +85,14 @@ def test_one_text_on_most_rows(spark):
     assert all(r.match for r in rows)
 
 
+def test_a_text_on_many_keys_gives_its_rows_from_many_tasks(spark):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("uri"), F.lit("Apple Inc").alias("t"))
+    got = fuzzy_self_join(df, "t", "uri")
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 2000 * 1999
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 0.7 * 2000 * 1999
+
+
 def test_self_join_keeps_both_orders_and_drops_equal_keys(spark):
     df = spark.createDataFrame(
         [("1", "Apple Inc"), ("2", "Apple Inc."), ("2", "Apple Inc"), ("3", "Zebra")], "uri string, t string"

@@ -16,7 +16,7 @@ def expected(rows):
     return dict(counts)
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_rows": 3}, {"chunk_rows": 1}, {"chunk_rows": 2, "hot_keys": 1}])
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 3}, {"chunk_rows": 1}])
 def test_row_pairs_with_a_hot_key(spark, options):
     rng = random.Random(3)
     rows = [(f"k{rng.randint(0, 6)}", f"e{rng.randint(0, 8)}") for _ in range(80)]

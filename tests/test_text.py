@@ -43,11 +43,11 @@ def texts(spark):
     return spark.createDataFrame(TEXTS, "uri string, title string, content string")
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_dictionary_mentions(spark, texts, limit):
     """Both join paths; the longer of nested matches counts, overlapping ones both do."""
     gazetteer = spark.createDataFrame(GAZETTEER, "phrase string, type string")
-    got = extract_mentions(texts, "uri", ["title", "content"], gazetteer, broadcast_phrases=limit).collect()
+    got = extract_mentions(texts, "uri", ["title", "content"], gazetteer, broadcast_bytes=limit).collect()
     assert len(got) == len(EXPECTED)
     assert {tuple(r) for r in got} == EXPECTED
 
@@ -61,9 +61,9 @@ def test_one_phrase_of_two_types_and_copied_rows(spark, texts):
 
 def test_model_mentions(texts):
     def load():
-        def extract(text):
-            assert text, "empty texts never reach the model"
-            return [(w, "GPE") for w in text.split() if w == "York"] + [("x", "DATE")]
+        def extract(batch):
+            assert all(batch), "empty texts never reach the model"
+            return [[(w, "GPE") for w in text.split() if w == "York"] + [("x", "DATE")] for text in batch]
 
         return extract
 
@@ -92,8 +92,7 @@ def test_word_list_sentiment(spark):
         ("nothing here", "NEUTRAL", 0.0),
         ("", "NEUTRAL", 0.0),
         (None, "NEUTRAL", 0.0),
-        (" ".join(["x"] * 512) + " bad", "NEUTRAL", 0.0),
-        (" ".join(["x"] * 511) + " bad", "NEGATIVE", 1.0),
+        (" ".join(["x"] * 5000) + " bad", "NEGATIVE", 1.0),
     ]
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string").coalesce(1)
     got = score_sentiment(df, "t", POSITIVE, NEGATIVE).orderBy("i").collect()
