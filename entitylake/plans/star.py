@@ -88,6 +88,46 @@ def mentions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def party_mentions(spark: SparkSession, folder: str, party: str) -> DataFrame:
+    """Mentions of the customers or suppliers (``party``) of orders: as many entities as the tables have.
+
+    An order mentions its customer once and the supplier of each line.
+    """
+    line = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_discount")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    if party == "customer":
+        rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        name, described, detail = F.col("c_name"), F.col("c_mktsegment"), F.lit("buyer")
+        score = F.lit(100.0)
+    else:
+        suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+        rows = (
+            line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        )
+        name, described = F.col("s_name"), F.col("s_suppkey").cast("string")
+        detail = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"))
+        score = F.round(80 + 200 * F.col("l_discount"), 1)
+    order = F.col("o_orderkey").cast("string")
+    return rows.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        composite_key(name, _entity_type(described)).alias("entity_uri"),
+        name.alias("entity_name"),
+        _entity_type(described).alias("entity_type"),
+        described.alias("entity_description"),
+        order.alias("source_uri"),
+        F.col("o_orderpriority").alias("source_title"),
+        F.concat(F.lit("order "), order).alias("source_description"),
+        F.concat(F.lit("order/"), order).alias("source_url"),
+        F.col("n_name").alias("source_name"),
+        F.col("o_orderdate").alias("source_published_at"),
+        detail.alias("match_details"),
+        score.alias("match_score"),
+    )
+
+
 def sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """Score from the price, as a binary fraction so that sums do not depend on their order."""
     status = F.col("o_orderstatus")
@@ -119,3 +159,15 @@ class StarTables(ReportTables):
     @cached_property
     def sentiment(self) -> DataFrame:
         return sentiment(self._spark, self._folder)
+
+
+class PartyTables(StarTables):
+    """The same with customers or suppliers as the entities mentioned."""
+
+    def __init__(self, spark: SparkSession, folder: str, party: str) -> None:
+        super().__init__(spark, folder)
+        self._party = party
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return party_mentions(self._spark, self._folder, self._party)

@@ -3,6 +3,12 @@
 RED, BLUE = "red plate", "blue ring"
 PERIOD = {"date_from": "1996-03-01", "date_to": "2000-10-31"}
 
+# Reports that are also run with other entities than part names.
+PARTY_REPORTS: dict[str, tuple[str, ...]] = {
+    "customer": ("relationship_growth", "mention_velocity", "source_influence"),
+    "supplier": ("related_entities", "pair_mention_trends", "pair_sentiment", "sentiment_correlation"),
+}
+
 REPORT_PARAMETERS: dict[str, dict] = {
     "entity_information": {"entity_name": "red%"},
     "entity_affiliations": {"entity_name": RED, "entity_type": "PERSON"},

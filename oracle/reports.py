@@ -24,6 +24,26 @@ n AS (
   JOIN nation ON n_nationkey = c_nationkey
 )"""
 
+CUSTOMER_MENTIONS = f"""
+n AS (
+  SELECT c_name AS entity_name, {KIND.format('c_mktsegment')} AS entity_type,
+         CAST(o_orderkey AS VARCHAR) AS source_uri, o_orderpriority AS source_title,
+         'order ' || o_orderkey AS source_description, 'order/' || o_orderkey AS source_url,
+         n_name AS source_name, o_orderdate AS ts, 'buyer' AS match_details, 100.0::DOUBLE AS match_score
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+)"""
+
+SUPPLIER_MENTIONS = f"""
+n AS (
+  SELECT s_name AS entity_name, {KIND.format('CAST(s_suppkey AS VARCHAR)')} AS entity_type,
+         CAST(l_orderkey AS VARCHAR) AS source_uri, o_orderpriority AS source_title,
+         'order ' || l_orderkey AS source_description, 'order/' || l_orderkey AS source_url,
+         n_name AS source_name, o_orderdate AS ts, 'line ' || l_linenumber AS match_details,
+         round(80 + 200 * l_discount, 1) AS match_score
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
+  JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+)"""
+
 SENTIMENT = """
 s AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS uri, floor(o_totalprice) / 524288.0::DOUBLE AS score,
@@ -544,3 +564,12 @@ def statement(ctes: list[str], body: str, rounded: str = "", dates: str = "") ->
 
 def report_statements() -> dict[str, str]:
     return {name: statement(*parts) for name, parts in _REPORTS.items()}
+
+
+def party_statements(party: str, names: tuple[str, ...]) -> dict[str, str]:
+    """The statements of these reports with customers or suppliers as entities."""
+    mentions = {"customer": CUSTOMER_MENTIONS, "supplier": SUPPLIER_MENTIONS}[party]
+    return {
+        name: statement([mentions if c == MENTIONS else c for c in _REPORTS[name][0]], *_REPORTS[name][1:])
+        for name in names
+    }

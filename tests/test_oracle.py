@@ -9,6 +9,8 @@ from entitylake.plans.reports import REPORTS
 from tests.check_oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries whose question has no answer in the smallest tables.
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -31,4 +33,4 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, connection, name):
     problem = compare(spark, connection, FOLDER, name, entry.oracle_sql()[name])
-    assert problem in (None, "no rows")
+    assert problem == ("no rows" if name in EMPTY else None)
