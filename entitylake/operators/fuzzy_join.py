@@ -47,6 +47,9 @@ HOT_ROWS = 2000
 # of token pairs grows with the square of the length.
 LONG_TEXT = 64
 
+# Partitions of the comparing stage, as a multiple of the shuffle partitions.
+TASKS_PER_PARTITION = 4
+
 # Keys of one text that are listed in one row when pairs of texts become pairs of keys.
 CHUNK_KEYS = 500
 
@@ -150,6 +153,15 @@ def _exploded_tokens(texts: DataFrame, bounds: _Bounds) -> DataFrame:
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions of the comparing stage, whose work is in pairs, not in bytes.
+
+    Adaptive execution would put so few bytes into few partitions; a number
+    given explicitly is kept. Heavy keys are cut into cells, so it has no skew to mend.
+    """
+    return TASKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _texts(df: DataFrame, text: str) -> DataFrame:
     """The different texts of a column; alike wherever used, so that its shuffle runs once."""
     return df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
@@ -225,9 +237,9 @@ def _blocked_pairs(
     """Unequal matching texts with their score, each pair once; no ``right`` means within ``left``."""
     grid = hot_grid(left, right, "key", chunk_rows=chunk_rows)
     one, two = with_cells(left, left if right is None else right, grid, "key", "text", half=right is None)
-    a = one.alias("a")
+    a = one.repartition(_tasks(left), "key", "cell").alias("a")
     # Not to be broadcast on the size estimate: the pairs are worth spreading out.
-    b = two.hint("shuffle_hash").alias("b")
+    b = two.repartition(_tasks(left), "key", "cell").hint("merge").alias("b")
     n, m, bigrams = F.col("a.n"), F.col("b.n"), F.col("a.bigrams")
     total = n + m
     most = bounds.max_distance(total)
@@ -257,8 +269,10 @@ def _blocked_pairs(
             else F.col("a.text") != F.col("b.text")
         )
         & (bigrams == (total > F.lit(float(bounds.shortest_bigram_sum))))
-        & (home == F.col("a.key"))
+        # Short texts are measured first, which is cheap; long ones under one key only, as they share many.
+        & ((F.greatest(n, m) <= LONG_TEXT) | (home == F.col("a.key")))
         & (edits >= 0)
+        & ((F.greatest(n, m) > LONG_TEXT) | (home == F.col("a.key")))
     )
     x, y = F.col("left_text"), F.col("right_text")
     return (
