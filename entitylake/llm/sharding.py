@@ -58,12 +58,28 @@ def _place(keys: list[Column]) -> Column:
     return F.floor((value - F.col("_low")) / F.col("_width")).cast("int")
 
 
+INTERVALS = "_interval int, _place int, _next int, _level int, _low decimal(20,0), _width decimal(20,0)"
+
+
+def _first_interval(interval: tuple) -> dict[str, Column]:
+    """The interval of all rows, which needs no lookup."""
+    _, _, number, level, low, width = interval
+    return {
+        "_next": F.lit(number),
+        "_level": F.lit(level),
+        "_low": F.lit(low).cast("decimal(20,0)"),
+        "_width": F.lit(width).cast("decimal(20,0)"),
+    }
+
+
 def _opened(df: DataFrame, keys: list[Column], intervals: list[tuple]) -> DataFrame:
     """Rows of the open intervals with their bin; intervals: parent, bin, id, level, low, width."""
     spark = df.sparkSession
-    schema = "_interval int, _place int, _next int, _level int, _low decimal(20,0), _width decimal(20,0)"
-    probes = spark.createDataFrame(intervals, schema)
-    found = df.join(F.broadcast(probes), ["_interval", "_place"])
+    if len(intervals) == 1 and intervals[0][0] == -1:
+        found = df.withColumns(_first_interval(intervals[0]))
+    else:
+        probes = spark.createDataFrame(intervals, INTERVALS)
+        found = df.join(F.broadcast(probes), ["_interval", "_place"])
     return found.withColumn("_place", _place(keys)).withColumn("_interval", F.col("_next")).drop(
         "_next", "_level", "_low", "_width"
     )
@@ -169,8 +185,10 @@ def _assigned(df: DataFrame, keys: list[str], splitters: Splitters) -> DataFrame
     columns = [F.coalesce(F.col(k).cast("long"), F.lit(LEAST)) for k in keys]
     out = df.withColumn("_interval", F.lit(-1)).withColumn("_place", F.lit(0)).withColumn("_bucket", F.lit(None).cast("int"))
     for probes, bins in splitters.rounds:
-        schema = "_interval int, _place int, _next int, _level int, _low decimal(20,0), _width decimal(20,0)"
-        out = out.join(F.broadcast(spark.createDataFrame(probes, schema)), ["_interval", "_place"], "left")
+        if probes[0][0] == -1:
+            out = out.withColumns(_first_interval(probes[0]))
+        else:
+            out = out.join(F.broadcast(spark.createDataFrame(probes, INTERVALS)), ["_interval", "_place"], "left")
         out = out.withColumn("_place", F.when(F.col("_next").isNotNull(), _place(columns)).otherwise(F.col("_place")))
         out = out.withColumn("_interval", F.coalesce("_next", "_interval")).drop("_next", "_level", "_low", "_width")
         found = spark.createDataFrame(
