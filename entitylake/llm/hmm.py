@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ from entitylake.llm.common import (
 )
 
 STATES = 8
-CLASSES = 1 << 16
+CLASSES = 1 << 15
 END = CLASSES
-ROUNDS = 6
+ROUNDS = 5
 STRETCH = 256
 GROUP = 2048
 BLOCK_SCHEMA = (
@@ -42,6 +43,17 @@ BLOCK_SCHEMA = (
 )
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Word numbers, which are small for frequent words: byte by byte, compressed."""
+    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 def _block(batch: pa.RecordBatch) -> pa.RecordBatch:
     """One row: the documents of a batch, their words by number, and the words' hashes and training counts."""
     data, offsets = text_buffer(batch.column("text"))
@@ -64,7 +76,7 @@ def _block(batch: pa.RecordBatch) -> pa.RecordBatch:
         pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
         pa.array([held.tolist()], pa.list_(pa.bool_())),
         pa.array([counts.tolist()], pa.list_(pa.int64())),
-        pa.array([tokens.astype("<u4").tobytes()], pa.binary()),
+        pa.array([_packed(tokens)], pa.binary()),
         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words[by_count].view(np.int64))),
         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(trained.astype(np.int64))),
     ]
@@ -96,7 +108,7 @@ class _Sequences:
 
 def _sequences(batch: pa.RecordBatch, row: int, of_word: np.ndarray, end: int) -> _Sequences:
     counts = batch.column("counts")[row].values.to_numpy()
-    tokens = np.frombuffer(batch.column("tokens")[row].as_buffer(), dtype="<u4")
+    tokens = _unpacked(batch.column("tokens")[row].as_py())
     reach = np.concatenate([[0], np.cumsum(counts)])
     symbols = np.insert(of_word[tokens], reach[1:], end)
     held = np.array(batch.column("held_out")[row].as_py(), dtype=bool)
@@ -198,7 +210,7 @@ def _expected_rows(model: Model):
         rows = np.concatenate([into.emits[used], into.moves, into.first[None], np.full((1, states), into.log10)])
         numbers = np.concatenate([used, -1 - np.arange(states + 2)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers.astype(np.int32)), *(pa.array(rows[:, s]) for s in range(states))],
+            [pa.array(numbers.astype(np.int32)), *(pa.array(rows[:, s].astype(np.float32)) for s in range(states))],
             names=["symbol", *(f"s{s}" for s in range(states))],
         )
 
@@ -209,7 +221,7 @@ def _improved(model: Model, blocks: DataFrame, shares: np.ndarray) -> tuple[Mode
     """One round of Baum-Welch over all blocks, and the log10 likelihood before it."""
     states = len(model.first)
     names = [f"s{s}" for s in range(states)]
-    schema = "symbol int, " + ", ".join(f"{n} double" for n in names)
+    schema = "symbol int, " + ", ".join(f"{n} float" for n in names)
     sums = (
         blocks.select("held_out", "counts", "tokens", "words")
         .mapInArrow(_expected_rows(model), schema)
@@ -371,11 +383,13 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     else:
         model = train(blocks, words, states, rounds)
     places = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    # Place and count in one number: 23 bits for a block's words, 40 for counts.
+    found = F.shiftleft(F.col("place").cast("long"), 40) + F.coalesce("n", F.lit(0))
     known = (
         places.join(counts, "word", "left")
         .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("n", F.lit(0)).alias("n")))).alias("found"))
-        .select("block", F.col("found.n").alias("known"))
+        .agg(F.sort_array(F.collect_list(found)).alias("found"))
+        .select("block", F.transform("found", lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))).alias("known"))
     )
     joined = blocks.drop("trained").join(known, "block", "left")
     joined = joined.withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
