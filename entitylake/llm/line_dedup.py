@@ -4,7 +4,8 @@ Pages holding a line are counted per host, once for each page, and divided by th
 host's pages; lines above the ratio are dropped from the host's texts. Only
 hashes of lines are shuffled, counted map-side first, so neither a hot host nor a
 hot line gathers in a task. A host has at most (mean lines of a page) / ratio such lines,
-and their table joins the pages by Spark's choice.
+and their stored table is sent to all executors while its bytes are few, else Spark
+joins the pages with it by shuffling, where adaptive execution splits a hot host.
 
 Rows: a null text stays null, a line without a word is never dropped, lines are equal byte
 for byte and a null host is a host of its own. A page of which every line with a word would
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylake.llm.common import let
+from entitylake.llm.common import BROADCAST_BYTES, let, small, stored
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -53,7 +54,9 @@ def boilerplate_lines(docs: DataFrame, host: str, ratio: float = RATIO, min_page
 def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines out of ``text``, and ``n_lines`` and ``n_dropped``."""
     docs = docs.drop("n_lines", "n_dropped")
-    drops = boilerplate_lines(docs, host, ratio, min_pages)
+    drops = stored(boilerplate_lines(docs, host, ratio, min_pages))
+    keys = drops.agg(F.sum(F.size("_drop") + 4)).first()[0] or 0
+    drops = small(drops, keys * 16 <= BROADCAST_BYTES)
     joined = docs.join(drops, docs[host].eqNullSafe(drops["_host"]), "left").drop("_host")
 
     def cleaned(lines: Column) -> Column:
