@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,12 @@ class Encoder:
         return np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which goes on from task to task."""
+    return Encoder(path)
+
+
 # Blocks
 
 
@@ -239,7 +246,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        encoder, writer, part, done = Encoder(path), None, 0, []
+        encode, writer, part, done = encoder(path).encode, None, 0, []
         task = TaskContext.get().partitionId()
 
         def close() -> None:
@@ -255,7 +262,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                     close()
                     writer, part = None, part + 1
                 writer = writer or Writer(fs, f"{base}/ids-{task:06d}-{part:04d}.pfor")
-                ids, counts = encoder.encode(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], end_id)
+                ids, counts = encode(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], end_id)
                 writer.add(numbers[a:z], valid[a:z], counts, ids)
         if writer is not None:
             close()
