@@ -10,12 +10,14 @@
 3. Small buckets give all their pairs. In a large one (near copies by the thousand) members
    meet three pivots. Pairs within the distance are confirmed on full sets, first each
    class with its best partner, then only pairs whose ends are not yet connected.
-4. What is exact for the large buckets: where members of a bucket are still in different components, they are
-   compared in a grid of cells, each pair of cells in a group of its own, and pairs within the distance are
-   confirmed like the others. A bucket that is one component needs no further pair.
+4. What is exact for the large buckets: where members of a bucket are still in different components, the buckets
+   that share members form clusters. A cluster is cut into chunks of ``CELL`` members, and
+   each pair of chunks is a group in which full sets of different components are compared; it
+   gives one link for each pair of components. Chunks of one component do not meet,
+   so a group of copies of which all but a few are connected costs these few times its size.
 
 Neither bucket nor component is gathered: counts and pivots combine map-side, components
-are found by joins, and cells have ``CELL`` members on average.
+are found by joins, and cells have two chunks of ``CELL`` members on average.
 
 Rows: a null text or one without words has an empty set, is linked with nothing and is its own component; a text of
 fewer words than a shingle is one shingle; a null doc_id takes part and is named
@@ -209,30 +211,83 @@ def _with_marks(pairs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
     )
 
 
-def _grid_pairs(rest: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
-    """Pairs of different components within a bucket, by cells; rest: key, size, node, component."""
-    cells = F.ceil(F.col("size") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("node"), cells).cast("int")
-    dealt = rest.join(classes.select("node", "mark"), "node").select(
-        "key", "node", "component", "mark", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other")
+def _chunks(rest: DataFrame) -> DataFrame:
+    """rest (node, component, cluster, n_shingles) with the chunk of each node and the chunks it has to meet.
+
+    A long text counts for as many as it has thousands of shingles. A component larger than a cell has chunks of its own, the others of a cluster share
+    some; two chunks of one large component do not meet.
+    """
+    weight = 1 + F.col("n_shingles") / 1000
+    sizes = rest.groupBy("cluster", "component").agg(F.sum(weight).alias("size"))
+    sized = rest.join(sizes.withColumn("large", F.when(F.col("size") > CELL, F.col("component"))), ["cluster", "component"])
+    # Nodes of small components are counted by cluster, those of a large one by itself.
+    counts = sized.groupBy("cluster", "large").agg(F.sum(weight).alias("n"))
+    parts = counts.select("cluster", "large", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    listed = parts.groupBy("cluster").agg(
+        F.flatten(
+            F.collect_list(
+                F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.col("large").alias("large"), i.alias("part")))
+            )
+        ).alias("chunks")
     )
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    part = F.pmod(F.xxhash64(F.coalesce("large", "component"), F.when(F.col("large").isNotNull(), F.col("node"))), F.col("parts"))
+    own = F.struct(F.col("large"), part.cast("int").alias("part"))
+    of_chunk = parts.select(F.col("cluster").alias("_cluster"), F.col("large").alias("_large"), "parts")
+    placed = (
+        sized.join(of_chunk, (F.col("cluster") == F.col("_cluster")) & F.col("large").eqNullSafe(F.col("_large")))
+        .select("cluster", "node", "component", own.alias("own"))
+        .join(listed, "cluster")
+    )
+    met = placed.select("cluster", "node", "component", "own", F.explode("chunks").alias("other"))
+    return met.filter(~F.coalesce(F.col("own.large") == F.col("other.large"), F.lit(False)))
+
+
+def _rows_of_sets(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column) of each element that two sets or more hold, and the sizes of the sets."""
+    arrays = [np.frombuffer(x, dtype=np.uint64) for x in sets]
+    sizes = np.array([len(x) for x in arrays])
+    _, column, held = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    shared = held > 1
+    keep = shared[column]
+    return np.repeat(np.arange(len(sets)), sizes)[keep], (np.cumsum(shared) - 1)[column[keep]], sizes
+
+
+def _linked_components(p: Plan):
+    """Links between different components of a cell, one for each pair of components, from full sets."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        marks = np.frombuffer(b"".join(group["mark"]), dtype=np.uint16).reshape(len(group), p.symbols)
-        nodes, comps, own = (group[c].to_numpy() for c in ("node", "component", "own"))
-        left, right = np.flatnonzero(own == group["i"].iloc[0]), np.flatnonzero(own == group["j"].iloc[0])
-        found = [np.zeros((0, 3), dtype=np.int64)]
-        for x in left.tolist():
-            others = right[comps[right] != comps[x]]
-            distance = (marks[others] != marks[x]).sum(axis=1)
-            near = others[distance <= p.distance]
-            found.append(np.stack([np.full(len(near), nodes[x]), nodes[near], distance[distance <= p.distance]], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["u", "v", "distance"])
-
-    pairs = dealt.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long, distance int")
-    return _ordered(pairs)
+        group = group.drop_duplicates("node").reset_index(drop=True)
+        row, column, sizes = _rows_of_sets(group["set"].tolist())
+        both = np.zeros((len(group), len(group)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        width = int(column[-1]) + 1 if len(column) else 0
+        for first in range(0, width, 4096):
+            a, z = np.searchsorted(column, [first, first + 4096])
+            part = np.zeros((len(group), min(4096, width - first)), dtype=np.float32)
+            part[row[a:z], column[a:z] - first] = 1
+            both += part @ part.T
+        comps, nodes = group["component"].to_numpy(), group["node"].to_numpy()
+        linked = 100 * both.astype(np.float64) >= p.percent * (sizes[:, None] + sizes[None, :] - both)
+        u, v = np.nonzero(linked & (comps[:, None] < comps[None, :]))
+        found = pd.DataFrame({"u": nodes[u], "v": nodes[v], "cu": comps[u], "cv": comps[v]})
+        return found.drop_duplicates(["cu", "cv"])[["u", "v"]]
+
+    return compare
+
+
+def _grid_links(rest: DataFrame, sets: DataFrame, p: Plan) -> DataFrame:
+    """Links between components of a cluster; rest: node, component, cluster, n_shingles."""
+    chunk = "concat_ws(':', {0}.large, {0}.part)"
+    met = _chunks(rest).select(
+        "cluster", "node", "component", F.expr(chunk.format("own")).alias("x"), F.expr(chunk.format("other")).alias("y")
+    )
+    cells = met.select("cluster", "node", "component", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    return (
+        cells.join(sets, "node")
+        .groupBy("cluster", "i", "j")
+        .applyInPandas(_linked_components(p), "u long, v long")
+    )
 
 
 class _Confirmer:
@@ -303,15 +358,22 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
     comps = stored(components(links))
     large = members.filter(F.col("size") > SMALL_BUCKET).join(comps, "node", "left")
     large = large.withColumn("component", F.coalesce("component", "node"))
-    parted = large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    rest = stored(large.join(parted.filter(F.col("x") != F.col("y")).select("key"), "key", "left_semi"))
+    parted = large.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("first")
+    )
+    rest = stored(large.join(parted.filter(F.col("x") != F.col("y")).select("key", "first"), "key"))
     if rest.isEmpty():
         return comps
-    more = stored(_grid_pairs(rest, classes, p).join(near.select("u", "v"), ["u", "v"], "left_anti"))
-    if more.isEmpty():
-        return comps
-    confirmer.add(more)
-    return stored(components(links.unionByName(confirmer.confirm(more))))
+    # Buckets that share a member are one cluster: its pairs are looked at once, whatever the buckets.
+    clusters = components(rest.select(F.col("first").alias("u"), F.col("node").alias("v")).distinct())
+    rest = stored(
+        rest.select("node", "component")
+        .distinct()
+        .join(clusters.withColumnRenamed("component", "cluster"), "node")
+        .join(classes.select("node", "n_shingles"), "node")
+    )
+    confirmer.add(rest.select(F.col("node").alias("u"), F.col("node").alias("v")))
+    return stored(components(links.unionByName(_grid_links(rest, confirmer.sets, p))))
 
 
 def near_duplicates(docs: DataFrame, p: Plan) -> DataFrame:
@@ -329,7 +391,7 @@ def near_duplicates(docs: DataFrame, p: Plan) -> DataFrame:
     )
     # The number is fixed by the write, and only the table is used from here on.
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()))
-    comps = class_components(docs, classes.select("node", "sample", "mark"), p)
+    comps = class_components(docs, classes.select("node", "sample", "mark", "n_shingles"), p)
     named = classes.select("a", "b", "n_shingles", "node", "first_id").join(comps, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
