@@ -33,9 +33,9 @@ from entitylake.llm.common import (
 )
 
 STATES = 8
-CLASSES = 1 << 15
+CLASSES = 1 << 16
 END = CLASSES
-ROUNDS = 5
+ROUNDS = 6
 STRETCH = 256
 GROUP = 2048
 BLOCK_SCHEMA = (
@@ -210,7 +210,7 @@ def _expected_rows(model: Model):
         rows = np.concatenate([into.emits[used], into.moves, into.first[None], np.full((1, states), into.log10)])
         numbers = np.concatenate([used, -1 - np.arange(states + 2)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(numbers.astype(np.int32)), *(pa.array(rows[:, s].astype(np.float32)) for s in range(states))],
+            [pa.array(numbers.astype(np.int32)), *(pa.array(rows[:, s]) for s in range(states))],
             names=["symbol", *(f"s{s}" for s in range(states))],
         )
 
@@ -221,7 +221,7 @@ def _improved(model: Model, blocks: DataFrame, shares: np.ndarray) -> tuple[Mode
     """One round of Baum-Welch over all blocks, and the log10 likelihood before it."""
     states = len(model.first)
     names = [f"s{s}" for s in range(states)]
-    schema = "symbol int, " + ", ".join(f"{n} float" for n in names)
+    schema = "symbol int, " + ", ".join(f"{n} double" for n in names)
     sums = (
         blocks.select("held_out", "counts", "tokens", "words")
         .mapInArrow(_expected_rows(model), schema)

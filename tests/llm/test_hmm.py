@@ -68,6 +68,25 @@ def test_rounds_raise_the_likelihood(spark):
     assert gains[-1] > gains[0]
 
 
+def test_a_round_sums_what_its_blocks_expect_in_full_precision(spark):
+    assert hmm.CLASSES >= 1 << 16 and hmm.ROUNDS >= 6
+    docs = documents(spark, [(i, prose(i, 60), "en", "s", 1) for i in range(30)]).repartition(3)
+    blocks = hmm.word_blocks(docs)
+    _, seen = hmm.count_words(blocks)
+    shares = (seen.held + 0.5) / (seen.tokens + 0.5 * (hmm.CLASSES + 1))
+    before = hmm.initial(shares, 3)
+    into = hmm.Expected.none(3, hmm.CLASSES + 1)
+    for batch in blocks.select("held_out", "counts", "tokens", "words").toArrow().to_batches():
+        for row in range(batch.num_rows):
+            classes = hmm._classes_of(batch.column("words")[row].values.to_numpy())
+            sequences = hmm._sequences(batch, row, classes, hmm.END)
+            hmm.expect(before, sequences.symbols, *hmm.stretches(sequences), into)
+    model, log10 = hmm._improved(before, blocks, shares)
+    assert log10 == pytest.approx(into.log10, rel=1e-12)
+    want = hmm.maximised(into.first + 0.1, into.moves + 0.1, into.emits, shares)
+    assert np.allclose(model.emits, want.emits, rtol=1e-11, atol=0)
+
+
 def plain(rows):
     tokens = lambda text: [*words(lower(text or "")), "\n"]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
