@@ -1,11 +1,10 @@
 """A hidden Markov language model of word sequences.
 
-A state emits one of ``CLASSES`` classes of words (by hash; the end of a text has its own),
-and a class emits one of its words, or "unknown". The shares of words in a class and
-the weight of unknown words (as many as there are words seen once) come from exact counts of all training tokens;
-states, their transitions and the classes they emit come from Baum-Welch over all training
-texts: every task sums expected counts of its texts, the sums are grouped by class, and the driver
-gets one row per class, whatever the corpus. A text's score is the exact likelihood of the whole
+A state emits words, the end of a text, or "unknown". States, their transitions and each word they
+emit come from Baum-Welch over all training texts: every task sums expected counts of the words of its blocks,
+the sums are added by word in buckets of the vocabulary, stored, and joined to the blocks in the next round.
+The weight of unknown words (as many as there are words seen once) is that of ``CLASSES`` classes of words by hash,
+from exact counts of all training tokens; the driver gets sums of classes, whatever the corpus. A text's score is the exact likelihood of the whole
 sequence by the scaled forward recursion. (In training alone, texts are cut into
 stretches of ``STRETCH`` tokens, whose first state follows the mean state.)
 
@@ -303,6 +302,144 @@ def train(blocks: DataFrame, words: Words, states: int = STATES, rounds: int = R
     return model
 
 
+@dataclass
+class WordEmissions:
+    """What states emit of single words: expected counts of words, leaning to the words' shares of the corpus.
+
+    Added over the words of a class this is what ``maximised`` gives the class. Before the first
+    round (no ``held``) words have their shares of the initial model's classes.
+    """
+
+    model: Model
+    shares: np.ndarray
+    tokens_of_class: np.ndarray
+    buckets: int
+    held: np.ndarray | None = None
+
+    def order(self, words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known words by bucket, and where each bucket starts and the last ends."""
+        places = np.flatnonzero(known > 0)
+        bucket = (words[places].view(np.uint64) % np.uint64(self.buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        return places[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(self.buckets + 1))
+
+    def emits(self, words: np.ndarray, known: np.ndarray, given: bytes) -> np.ndarray:
+        """One row for each word of a block."""
+        classes = _classes_of(words)
+        share = known / np.maximum(self.tokens_of_class[classes], 1)
+        if self.held is None:
+            return self.model.emits[classes] * share[:, None]
+        counts = np.zeros((len(words), len(self.held)))
+        counts[self.order(words, known)[0]] = np.frombuffer(given, dtype="<f8").reshape(-1, len(self.held))
+        lean = 1000 + 0.001 * self.held
+        return (counts + lean * (self.shares[classes] * share)[:, None]) / (self.held + lean)
+
+
+#: Rows of a round: expected counts of a bucket's words in a block; blocks below zero hold sums of classes and of the rest.
+SUMS = "bucket long, block long, words binary, sums binary"
+OF_CLASSES, OF_REST = -1, -2
+BUCKET_WORDS = 1 << 18
+
+
+def _sums_batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "block", "words", "sums"])
+
+
+def _known_words(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Training counts and hashes of a block's words, and their expected counts in the order of buckets."""
+    given = b"".join(batch.column("given")[row].as_py()) if "given" in batch.schema.names else b""
+    return batch.column("known")[row].values.to_numpy(), batch.column("words")[row].values.to_numpy(), given
+
+
+def _expected_words(of_words: WordEmissions):
+    model, states = of_words.model, len(of_words.model.first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, ends_of_texts = Expected.none(states, 1), np.zeros(states)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                known, words, given = _known_words(batch, row)
+                emits = np.concatenate([of_words.emits(words, known, given), model.emits[END:]])
+                sequences = _sequences(batch, row, np.arange(len(words)), len(words))
+                starts, ends, fresh = stretches(sequences)
+                into = Expected(rest.first, rest.moves, np.zeros_like(emits), rest.log10)
+                if len(starts):
+                    expect(Model(model.first, model.mean, model.moves, emits), sequences.symbols, starts, ends, fresh, into)
+                rest.log10 = into.log10
+                ends_of_texts += into.emits[-1]
+                places, edges = of_words.order(words, known)
+                block = batch.column("block")[row].as_py()
+                rows = [
+                    (b, block, words[some].tobytes(), into.emits[some].astype("<f8").tobytes())
+                    for b, some in enumerate(np.split(places, edges[1:-1]))
+                    if len(some)
+                ]
+                yield _sums_batch(rows)
+        low = np.concatenate([rest.moves.reshape(-1), rest.first, ends_of_texts, [rest.log10]])
+        yield _sums_batch([(OF_REST, OF_REST, b"", low.astype("<f8").tobytes())])
+
+    return run
+
+
+def _summed_words(states: int):
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        sums = [np.frombuffer(x, dtype="<f8") for x in group.column("sums").to_pylist()]
+        if bucket == OF_REST:
+            return pa.Table.from_batches([_sums_batch([(bucket, OF_REST, b"", np.sum(sums, axis=0).tobytes())])])
+        words = [np.frombuffer(x, dtype="<i8") for x in group.column("words").to_pylist()]
+        different, which = np.unique(np.concatenate(words), return_inverse=True)
+        each = np.concatenate(sums).reshape(-1, states)
+        totals = np.stack([np.bincount(which, each[:, s], len(different)) for s in range(states)], axis=1)
+        classes, of_class = np.unique(_classes_of(different), return_inverse=True)
+        by_class = np.stack([np.bincount(of_class, totals[:, s], len(classes)) for s in range(states)], axis=1)
+        edges = np.cumsum([len(w) for w in words])[:-1]
+        rows = [
+            (bucket, block, b"", totals[some].tobytes())
+            for block, some in zip(group.column("block").to_pylist(), np.split(which, edges))
+        ]
+        rows.append((bucket, OF_CLASSES, classes.astype("<i8").tobytes(), by_class.tobytes()))
+        return pa.Table.from_batches([_sums_batch(rows)])
+
+    return run
+
+
+def _with_sums(blocks: DataFrame, sums: DataFrame | None) -> DataFrame:
+    """Blocks with the expected counts of their words as ``given``."""
+    if sums is None:
+        return blocks
+    found = sums.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "sums"))).alias("found"))
+    given = F.coalesce(F.col("found.sums"), F.array().cast("array<binary>")).alias("given")
+    return blocks.join(found, "block", "left").select(*blocks.columns, given)
+
+
+def train_words(blocks: DataFrame, words: Words, states: int = STATES, rounds: int = ROUNDS) -> tuple[WordEmissions, DataFrame | None]:
+    """Baum-Welch with emissions of single words, of blocks with ``known`` counts.
+
+    What grows with the vocabulary stays in the stored table of sums; the driver gets sums of classes and states.
+    """
+    shares = (words.held + 0.5) / (words.tokens + 0.5 * (CLASSES + 1))
+    held = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    buckets = 1 << max(4, (int(held) // BUCKET_WORDS).bit_length())
+    of_words, sums = WordEmissions(initial(shares, states), shares, words.held, buckets), None
+    for _ in range(rounds):
+        rows = _with_sums(blocks, sums).drop("doc_ids").mapInArrow(_expected_words(of_words), SUMS)
+        sums = stored(rows.groupBy("bucket").applyInArrow(_summed_words(states), SUMS))
+        emits = np.zeros((CLASSES + 1, states))
+        for row in sums.filter("block < 0").collect():
+            values = np.frombuffer(row["sums"], dtype="<f8")
+            if row["block"] == OF_REST:
+                low = values
+            else:
+                np.add.at(emits, np.frombuffer(row["words"], dtype="<i8"), values.reshape(-1, states))
+        moves, first, emits[END], _ = np.split(low, np.cumsum([states * states, states, states]))
+        model = maximised(first + 0.1, moves.reshape(states, states) + 0.1, emits, shares)
+        of_words = WordEmissions(model, shares, words.held, buckets, emits.sum(axis=0))
+    return of_words, sums
+
+
 def forward_log10(model: Model, emitted: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Log10 likelihood of each sequence; ``emitted`` has a row of state likelihoods per token."""
     lengths = np.diff(bounds)
@@ -329,20 +466,18 @@ SCORES = (
 )
 
 
-def _scored(model: Model, words: Words):
+def _scored(model: Model, words: Words, of_words: WordEmissions):
     unknown_by_state = words.unknown[:END] @ model.emits[:END]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                known = batch.column("known")[row].values.to_numpy()
-                classes = _classes_of(batch.column("words")[row].values.to_numpy())
+                known, hashes, given = _known_words(batch, row)
                 # The number of a word, the end behind all words.
                 sequences = _sequences(batch, row, np.arange(len(known)), len(known))
                 counts = np.append(known, words.texts)
-                classes = np.append(classes, END)
-                share = (1 - words.unknown[classes]) * counts / np.maximum(words.held[classes], 1)
-                emits = np.where(counts[:, None] > 0, model.emits[classes] * share[:, None], unknown_by_state)
+                seen = of_words.emits(hashes, known, given) * (1 - words.unknown[_classes_of(hashes)])[:, None]
+                emits = np.where(counts[:, None] > 0, np.concatenate([seen, model.emits[END:]]), unknown_by_state)
                 base = np.log10((counts + 0.5) / (words.tokens + 0.5 * (words.different + 1)))
                 begins = sequences.bounds[:-1]
                 tokens = np.diff(sequences.bounds)
@@ -376,12 +511,18 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     """Scores of all documents by a model of those that are not held out."""
     blocks = word_blocks(docs)
     counts, words = count_words(blocks)
+    blocks = stored(with_counts(blocks, counts))
     if not words.texts:
-        nothing = Model(np.ones(1), np.ones(1), np.ones((1, 1)), np.ones((CLASSES + 1, 1)))
-        nothing.emits[:] = 1 / CLASSES
-        model, words.unknown = nothing, np.ones(CLASSES + 1)
+        nothing = Model(np.ones(1), np.ones(1), np.ones((1, 1)), np.full((CLASSES + 1, 1), 1 / CLASSES))
+        of_words, sums = WordEmissions(nothing, words.held, words.held, 1), None
+        words.unknown = np.ones(CLASSES + 1)
     else:
-        model = train(blocks, words, states, rounds)
+        of_words, sums = train_words(blocks, words, states, rounds)
+    return _with_sums(blocks, sums).drop("block").mapInArrow(_scored(of_words.model, words, of_words), SCORES)
+
+
+def with_counts(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Blocks with the training counts of their words as ``known``."""
     places = blocks.select("block", F.posexplode("words").alias("place", "word"))
     # Place and count in one number: 23 bits for a block's words, 40 for counts.
     found = F.shiftleft(F.col("place").cast("long"), 40) + F.coalesce("n", F.lit(0))
@@ -392,5 +533,4 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
         .select("block", F.transform("found", lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))).alias("known"))
     )
     joined = blocks.drop("trained").join(known, "block", "left")
-    joined = joined.withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
-    return joined.select("doc_ids", "held_out", "counts", "tokens", "words", "known").mapInArrow(_scored(model, words), SCORES)
+    return joined.withColumn("known", F.coalesce("known", F.array().cast("array<long>")))

@@ -87,6 +87,53 @@ def test_a_round_sums_what_its_blocks_expect_in_full_precision(spark):
     assert np.allclose(model.emits, want.emits, rtol=1e-11, atol=0)
 
 
+def hashes_of(some):
+    data = [w.encode() for w in some]
+    ends = np.cumsum([len(x) for x in data])
+    return hmm.span_hashes(np.frombuffer(b"".join(data), dtype=np.uint8), ends - [len(x) for x in data], ends).view(np.int64)
+
+
+def test_rounds_are_baum_welch_over_single_words(spark):
+    """Against plain rounds with a symbol for each word; two words of one class stand in different texts."""
+    by_class = {}
+    for i, c in enumerate(hmm._classes_of(hashes_of([f"w{i}" for i in range(3000)])).tolist()):
+        by_class.setdefault(c, []).append(f"w{i}")
+    twins = next(x for x in by_class.values() if len(x) > 1)
+    rows = [(i, f"{prose(i % 9, 30)} {twins[i % 2]} {twins[i % 2]}", "en", "s", 1) for i in range(40)]
+    docs = documents(spark, rows).repartition(3)
+    blocks = hmm.word_blocks(docs)
+    counts, seen = hmm.count_words(blocks)
+    of_words, sums = hmm.train_words(hmm.stored(hmm.with_counts(blocks, counts)), seen, 3, 2)
+
+    train = [words(lower(r[1])) for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    known = Counter(w for text in train for w in text)
+    number = {w: n for n, w in enumerate(known)}
+    hashes = hashes_of(known)
+    classes = hmm._classes_of(hashes)
+    shares = (seen.held + 0.5) / (seen.tokens + 0.5 * (hmm.CLASSES + 1))
+    n = np.array(list(known.values()))
+    word_shares = np.append(shares[classes] * n / seen.held[classes], shares[hmm.END])
+    start = hmm.initial(shares, 3)
+    model = hmm.Model(start.first, start.mean, start.moves, np.append(start.emits[classes] * (n / seen.held[classes])[:, None], start.emits[hmm.END :], axis=0))
+    symbols = np.concatenate([[*(number[w] for w in text), len(known)] for text in train])
+    stops = np.cumsum([len(text) + 1 for text in train])
+    for _ in range(2):
+        into = hmm.Expected.none(3, len(known) + 1)
+        hmm.expect(model, symbols, stops - [len(t) + 1 for t in train], stops, np.ones(len(train), dtype=bool), into)
+        model = hmm.maximised(into.first + 0.1, into.moves + 0.1, into.emits, word_shares)
+    assert np.allclose(of_words.model.moves, model.moves) and np.allclose(of_words.model.first, model.first)
+    assert not np.allclose(*model.emits[[number[w] for w in twins[:2]]], rtol=0.1)
+    place = {h: i for i, h in enumerate(hashes.tolist())}
+    checked = 0
+    for batch in hmm._with_sums(hmm.with_counts(blocks, counts), sums).toArrow().to_batches():
+        for row in range(batch.num_rows):
+            have, words_of_block, given = hmm._known_words(batch, row)
+            got = of_words.emits(words_of_block, have, given)[have > 0]
+            assert np.allclose(got, model.emits[[place[h] for h in words_of_block[have > 0].tolist()]], rtol=1e-9)
+            checked += len(got)
+    assert checked >= len(known)
+
+
 def plain(rows):
     tokens = lambda text: [*words(lower(text or "")), "\n"]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
