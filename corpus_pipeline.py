@@ -42,13 +42,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id."""
-    verdict = near_dup.near_duplicates(docs, COPIES)
-    rest = _without(docs, verdict.filter(~F.col("kept")))
-    again = verdict.filter(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_hash").count()
-    if again.filter(F.col("count") > 1).isEmpty():
+    """One row of each group of near copies: that of the smallest doc_id, then of the smallest hash of its text."""
+    verdict = near_dup.chosen_rows(docs, COPIES)
+    rest = _without(docs, verdict.filter(~F.col("chosen")))
+    again = verdict.filter(F.col("chosen") & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_hash").count()
+    again = again.filter(F.col("count") > 1).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    names, fits = stored_rows(again, 24)
+    if names.isEmpty():
         return rest
-    return rest.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    same = (F.xxhash64(rest["text"]) == names["_hash"]) & rest["doc_id"].cast("long").eqNullSafe(names["_id"])
+    repeated = rest.join(small(names, fits), same, "left_semi").withColumn("_hash", F.xxhash64("text"))
+    return _without(rest, again.toDF("doc_id", "text_hash")).unionByName(repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -377,14 +377,22 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: Plan) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of ``docs`` (doc_id, text);
-    ``text_hash`` is ``xxhash64`` of the text, which with doc_id names the row."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row, as in ``chosen_rows``."""
+    return chosen_rows(docs, p).drop("chosen")
+
+
+def chosen_rows(docs: DataFrame, p: Plan) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, text_hash, chosen) of every row of ``docs`` (doc_id, text);
+    ``text_hash`` is ``xxhash64`` of the text, which with doc_id names the row. ``chosen`` is one name of each
+    component, whatever ids repeat in it or are null; rows without words are their own."""
     arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, text_hash long, n_shingles long, a long, b long, mark binary"
     facts = stored(docs.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text").mapInArrow(_mapped(_facts, p), schema))
     alike = facts.filter(F.col("n_shingles") > 0)
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     grouped = alike.groupBy("a", "b", "n_shingles").agg(
+        F.min(name).alias("first_name"),
         F.min("doc_id").alias("first_id"),
         F.min(F.struct("doc_id", "text_hash")).alias("sample"),
         F.min("mark").alias("mark"),
@@ -392,14 +400,17 @@ def near_duplicates(docs: DataFrame, p: Plan) -> DataFrame:
     # The number is fixed by the write, and only the table is used from here on.
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()))
     comps = class_components(docs, classes.select("node", "sample", "mark", "n_shingles"), p)
-    named = classes.select("a", "b", "n_shingles", "node", "first_id").join(comps, "node", "left")
+    named = classes.select("a", "b", "n_shingles", "node", "first_id", "first_name").join(comps, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
-    firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = named.join(firsts, "component").select("a", "b", "n_shingles", "component_id")
+    firsts = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min("first_name").alias("chosen_name"))
+    known = named.join(firsts, "component").select("a", "b", "n_shingles", "component_id", "chosen_name")
     joined = facts.select("doc_id", "text_hash", "n_shingles", "a", "b").join(known, ["a", "b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+    chosen = (F.col("n_shingles") == 0) | name.eqNullSafe(F.col("chosen_name"))
+    return joined.select(
+        "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash", chosen.alias("chosen")
+    )
 
 
 ORACLE = r"""

@@ -68,6 +68,17 @@ def test_stages_against_plain_versions(spark, folder):
     assert bag(corpus_pipeline.run(spark, folder).select("doc_id", "text").collect()) == bag(docs.select("doc_id", "text").collect())
 
 
+def test_near_copies_with_the_same_id_or_none(spark):
+    """One row of each group stays, and repeated rows without words stay all, whatever else repeats."""
+    text = [prose(50 + i, 200) for i in range(4)]
+    rows = [(1, text[0]), (1, text[0] + " more"), (None, text[1]), (None, text[1] + " more"), (2, text[2]), (2, text[3])]
+    rows += [(3, prose(70, 90)), (3, prose(70, 90)), (None, None), (None, None), (4, ""), (4, "")]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert Counter(i for i, t in got) == {1: 1, None: 3, 2: 2, 3: 1, 4: 2}
+    assert got.count((None, None)) == 2 and got.count((4, "")) == 2
+
+
 def test_empty_tables(spark):
     path = shared_folder(spark)
     documents(spark, []).write.parquet(f"{path}/documents.parquet")
