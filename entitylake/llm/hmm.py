@@ -524,13 +524,18 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
 def with_counts(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """Blocks with the training counts of their words as ``known``."""
     places = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    # Place and count in one number: 23 bits for a block's words, 40 for counts.
-    found = F.shiftleft(F.col("place").cast("long"), 40) + F.coalesce("n", F.lit(0))
+    most = blocks.agg(F.max(F.size("words"))).first()[0] or 0
+    count = F.coalesce("n", F.lit(0))
+    if most < 1 << 23:
+        # Place and count in one number: 23 bits for a block's words, 40 for counts.
+        found, unpacked = F.shiftleft(F.col("place").cast("long"), 40) + count, lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))
+    else:
+        found, unpacked = F.struct("place", count.alias("n")), lambda x: x["n"]
     known = (
         places.join(counts, "word", "left")
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(found)).alias("found"))
-        .select("block", F.transform("found", lambda x: x.bitwiseAND(F.lit((1 << 40) - 1))).alias("known"))
+        .select("block", F.transform("found", unpacked).alias("known"))
     )
     joined = blocks.drop("trained").join(known, "block", "left")
     return joined.withColumn("known", F.coalesce("known", F.array().cast("array<long>")))

@@ -134,6 +134,17 @@ def test_rounds_are_baum_welch_over_single_words(spark):
     assert checked >= len(known)
 
 
+def test_counts_of_a_block_of_very_many_words(spark):
+    size = (1 << 23) + 2
+    blocks = spark.range(1, numPartitions=1).select(
+        F.lit(0).cast("long").alias("block"), F.expr(f"sequence(1L, {size}L)").alias("words"), F.lit(None).alias("trained")
+    )
+    counts = spark.createDataFrame([(1, 7), (size, 9)], "word long, n long")
+    known = F.col("known")
+    got = hmm.with_counts(blocks, counts).select(F.size(known), known[0], known[size - 1], F.size(F.filter(known, lambda n: n > 0))).first()
+    assert tuple(got) == (size, 7, 9, 2)
+
+
 def plain(rows):
     tokens = lambda text: [*words(lower(text or "")), "\n"]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
