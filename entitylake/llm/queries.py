@@ -6,7 +6,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitylake.llm import decontamination, hmm, line_dedup, near_dup, pieces, quality_rules, ranking, sharding, token_files, warc
+from entitylake.llm import (
+    decontamination, hmm, lexical, line_dedup, mixing, near_dup, pieces, quality_rules, ranking, resampling, sharding, token_files, warc,
+)
 from entitylake.llm.common import id_text_crc, table
 
 
@@ -66,9 +68,24 @@ def op10_pfor_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.words_taken().alias("taken"))
+
+
+def op13_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (op1_histogram_shards, op2_robust_outliers, op3_site_lines, op4_zstd_archives, op5_hamming_join, op6_hidden_markov, op7_piece_paths, op8_preference_ranking,
-              op9_positional_index, op10_pfor_ids)
+              op9_positional_index, op10_pfor_ids, op11_segment_resampling, op12_sainte_lague_mix, op13_term_at_a_time)
 } | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op4_zstd_archives": warc.ORACLE, "op5_hamming_join": near_dup.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE}
+ORACLES = {"op4_zstd_archives": warc.ORACLE, "op5_hamming_join": near_dup.ORACLE, "op3_site_lines": line_dedup.ORACLE, "op9_positional_index": decontamination.ORACLE,
+           "op11_segment_resampling": resampling.ORACLE, "op12_sainte_lague_mix": mixing.ORACLE, "op13_term_at_a_time": lexical.ORACLE}
