@@ -14,7 +14,11 @@ occurrence of a gram counts as a token of its own). So:
    token, and the key is the pair of both. This splits the large groups,
 4. a pair that meets under several keys is kept under one of them only, so no
    shuffle is needed to remove duplicates,
-5. length, a bit vector of the characters, then bounded Levenshtein distance
+5. pairs with a long text, which would have a great many pairs of hot tokens and
+   share most of them with everything, meet once in the band of their lengths instead.
+   They are counted out first by the least number of bigrams that a matching pair of
+   their lengths shares, bounded from bit vectors of all bigrams of both,
+6. length, a bit vector of the characters, then bounded Levenshtein distance
    (none of them ever above the insert/delete distance) sort out pairs before
    the exact ratio decides; the distance is measured under that one key only.
 
@@ -26,7 +30,9 @@ cells that are joined in different tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import floor
+from functools import reduce
+from math import floor, log
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +49,16 @@ from entitylake.operators.hot_keys import CHUNK_ROWS, hot_grid, with_cells
 # A token held by more texts than this counts as hot.
 HOT_ROWS = 2000
 
-# Pairs with a text longer than this meet under single tokens only: the number
-# of token pairs grows with the square of the length.
-LONG_TEXT = 64
+# Texts up to this length meet under pairs of hot tokens, whose number grows with
+# the square of the length; pairs with a longer text meet in bands of lengths.
+PAIR_KEYS_LENGTH = 64
+
+# Rows of a chunk of a length band, at least, and chunks that a band is cut into if it has the rows.
+BAND_ROWS = 250
+BAND_CHUNKS = 8
+
+# 64-bit words of the bit vector of a text's bigrams.
+TOKEN_WORDS = 4
 
 # Partitions of the comparing stage, as a multiple of the shuffle partitions.
 TASKS_PER_PARTITION = 4
@@ -85,11 +98,19 @@ class _Bounds:
     def longest_partner(self, length: Column) -> Column:
         return F.floor(length * ((200 - self.threshold) / self.threshold) + _EPSILON)
 
+    def band(self, length: Column) -> Column:
+        """Number of a length's band; a matching partner is in the same or the next one."""
+        width = log((200 - self.threshold) / self.threshold) + 1e-6
+        return F.floor(F.log(F.greatest(length, F.lit(1))) / width).cast("int")
+
+    def bigrams_shared(self, total: Column) -> Column:
+        """Bigrams a matching pair of this summed length has in common at least, as a rounded figure below one."""
+        return total * ((3 * self.threshold - 200) / 200) - 1 - _EPSILON
+
     def shared(self, total: Column, bigrams: Column) -> Column:
         """Tokens a matching pair of this summed length has in common at least."""
-        by_bigram = total * ((3 * self.threshold - 200) / 200) - 1
         by_char = total * (self.threshold / 200)
-        need = F.when(bigrams, by_bigram).otherwise(by_char)
+        need = F.when(bigrams, self.bigrams_shared(total)).otherwise(by_char)
         return F.greatest(F.ceil(need - _EPSILON), F.lit(1)).cast("int")
 
 
@@ -105,12 +126,22 @@ def _tokens(text: Column, bigrams: bool) -> Column:
                 lambda x, i: F.concat(x, F.get(c, i + 1)),
             ),
         )
-    return bind(
-        F.sort_array(grams),
-        lambda g: F.transform(
-            g, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(g, x), F.lit(bigrams))
-        ),
-    )
+    def numbered(g: Column, starts: Column) -> Column:
+        """Each run of equal grams counted up from where it starts."""
+
+        def run(start: Column, j: Column) -> Column:
+            last = F.coalesce(F.get(starts, j + 1), F.size(g)) - 1
+            return F.transform(F.sequence(start, last), lambda i: F.xxhash64(F.get(g, start), i - start, F.lit(bigrams)))
+
+        return F.flatten(F.transform(starts, run))
+
+    def runs(g: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(g) - 1), lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1))
+        )
+        return F.when(F.size(g) > 0, bind(starts, lambda at: numbered(g, at))).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(F.sort_array(grams), runs)
 
 
 def _bag(text: Column) -> Column:
@@ -184,128 +215,203 @@ def _token_rows(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _signatures(tokens: DataFrame, token_rows: DataFrame, bounds: _Bounds, hot_rows: int) -> DataFrame:
-    """(text, n, bag, bigrams, prefix, rare, key): one row per join key of a text."""
-    ordered = (
+def _token_bits(tokens: Column, word: int) -> Column:
+    """One word of the set of a text's tokens; a bit that only one text has is a token that only it has."""
+    return F.aggregate(
+        F.filter(tokens, lambda t: F.pmod(F.shiftright(t, 6), F.lit(TOKEN_WORDS)) == word),
+        F.lit(0).cast("bigint"),
+        lambda bits, t: bits.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(t, F.lit(64)).cast("int"))
+        ),
+    )
+
+
+def _ordered(tokens: DataFrame, token_rows: DataFrame) -> DataFrame:
+    """(text, n, bag, bigrams, ordered): the tokens of a text as (rows, token), rarest first."""
+    return (
         tokens.join(token_rows, "token")
         .groupBy("text", "n", "bag", "bigrams")
         .agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("ordered"))
     )
+
+
+def _signatures(ordered: DataFrame, bounds: _Bounds, hot_rows: int) -> DataFrame:
+    """(text, n, bag, bigrams, prefix, rare, key): one row per join key of a text."""
     n, bigrams = F.col("n"), F.col("bigrams")
-    smallest = bounds.shortest_sum(n)
-    prefix = F.size("ordered") - bounds.shared(smallest, bigrams) + 1
+    needed = bounds.shared(bounds.shortest_sum(n), bigrams)
     token = F.col("head.token")
     hot_part = F.slice(token, F.col("rare") + 1, F.size(token))
     singles = F.transform(
         F.slice(token, F.lit(1), F.least(F.col("rare"), F.col("prefix_size"))),
         lambda t: F.xxhash64(bigrams, t),
     )
-    none = F.array().cast("array<bigint>")
-    pairs = F.when(
-        n <= LONG_TEXT,
-        bind(
-            hot_part,
-            lambda h: F.flatten(
-                F.transform(
-                    h,
-                    lambda x, i: F.transform(
-                        F.slice(h, i + 2, F.size(h)), lambda y: F.xxhash64(bigrams, x, y)
-                    ),
-                )
-            ),
+    pairs = bind(
+        hot_part,
+        lambda h: F.flatten(
+            F.transform(
+                h,
+                lambda x, i: F.transform(F.slice(h, i + 2, F.size(h)), lambda y: F.xxhash64(bigrams, x, y)),
+            )
         ),
-    ).otherwise(none)
-    # For pairs so short that one shared token is all they need to have, and for long ones.
-    hot_singles = F.when(
-        (bounds.shared(smallest, bigrams) <= 1) | (bounds.longest_partner(n) > LONG_TEXT),
-        F.transform(hot_part, lambda t: F.xxhash64(bigrams, t)),
-    ).otherwise(none)
+    )
+    # For pairs so short that one shared token is all they need to have.
+    hot_singles = F.when(needed <= 1, F.transform(hot_part, lambda t: F.xxhash64(bigrams, t))).otherwise(
+        F.array().cast("array<bigint>")
+    )
     return (
-        ordered.withColumn("prefix_size", prefix)
+        ordered.withColumn("prefix_size", F.size("ordered") - needed + 1)
         .withColumn("head", F.slice("ordered", F.lit(1), F.col("prefix_size") + 1))
         .withColumn("rare", F.size(F.filter("head", lambda x: x["rows"] <= hot_rows)))
         .select(
             "text", "n", "bag", "bigrams", token.alias("prefix"), "rare",
             F.explode(F.array_distinct(F.concat(singles, pairs, hot_singles))).alias("key"),
         )
+    )
+
+
+def _token_bits(tokens: Column, word: int) -> Column:
+    """One word of the set of a text's tokens; a bit that only one text has is a token that only it has."""
+    return F.aggregate(
+        F.filter(tokens, lambda t: F.pmod(F.shiftright(t, 6), F.lit(TOKEN_WORDS)) == word),
+        F.lit(0).cast("bigint"),
+        lambda bits, t: bits.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(t, F.lit(64)).cast("int"))
+        ),
     )
 
 
-def _blocked_pairs(
-    left: DataFrame, right: DataFrame | None, bounds: _Bounds, chunk_rows: int
-) -> DataFrame:
-    """Unequal matching texts with their score, each pair once; no ``right`` means within ``left``."""
+def _long_signatures(texts: DataFrame, bounds: _Bounds) -> DataFrame:
+    """(text, n, bag, band, bits0.., key): two rows per text that can match a long one, the key is the longer one's band."""
+    bits = [_token_bits(F.col("tokens"), w).alias(f"bits{w}") for w in range(TOKEN_WORDS)]
+    band = bounds.band(F.col("n"))
+    return (
+        texts.where(bounds.longest_partner(F.col("n")) > PAIR_KEYS_LENGTH)
+        .withColumn("tokens", _tokens(F.col("text"), True))
+        .select("text", "n", "bag", band.alias("band"), *bits)
+        .withColumn("key", F.explode(F.array("band", F.col("band") + 1)))
+    )
+
+
+def _sides(left: DataFrame, right: DataFrame | None, chunk_rows: int | Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides in the cells and partitions where they are compared."""
     grid = hot_grid(left, right, "key", chunk_rows=chunk_rows)
     one, two = with_cells(left, left if right is None else right, grid, "key", "text", half=right is None)
     a = one.repartition(_tasks(left), "key", "cell").alias("a")
     # Not to be broadcast on the size estimate: the pairs are worth spreading out.
-    b = two.repartition(_tasks(left), "key", "cell").hint("merge").alias("b")
-    n, m, bigrams = F.col("a.n"), F.col("b.n"), F.col("a.bigrams")
-    total = n + m
-    most = bounds.max_distance(total)
-    first_two = F.array_intersect("a.prefix", "b.prefix")
-    # The one key under which a pair is reported.
-    first = F.get(first_two, F.lit(0))
-    single = (
-        (F.array_position(F.col("a.prefix"), first) <= F.col("a.rare"))
-        | (bounds.shared(total, bigrams) <= 1)
-        | (F.greatest(n, m) > LONG_TEXT)
-    )
-    home = F.when(single, F.xxhash64(bigrams, first)).otherwise(
-        F.xxhash64(bigrams, first, F.get(first_two, F.lit(1)))
-    )
-    edits = F.call_function("levenshtein", F.col("a.text"), F.col("b.text"), most)
-    # Cheapest tests first; all in the join, as a filter on top would be put before them.
-    # Equality on exactly the columns the sides are partitioned by; the key's hash
-    # covers the kind of token.
-    condition = (
+    return a, two.repartition(_tasks(left), "key", "cell").hint("merge").alias("b")
+
+
+def _cheap_tests(bounds: _Bounds, within: bool) -> Column:
+    """What every pair has to pass under a key, cheapest first.
+
+    Equality on exactly the columns the sides are partitioned by.
+    """
+    n, m = F.col("a.n"), F.col("b.n")
+    most = bounds.max_distance(n + m)
+    return (
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.cell") == F.col("b.cell"))
         & (F.abs(n - m) <= most)
         & (F.bit_count(F.col("a.bag").bitwiseXOR(F.col("b.bag"))) <= most)
         & (
             F.when(F.col("a.diagonal"), F.col("a.text") < F.col("b.text")).otherwise(F.lit(True))
-            if right is None
+            if within
             else F.col("a.text") != F.col("b.text")
         )
-        & (bigrams == (total > F.lit(float(bounds.shortest_bigram_sum))))
-        # Short texts are measured first, which is cheap; long ones under one key only, as they share many.
-        & ((F.greatest(n, m) <= LONG_TEXT) | (home == F.col("a.key")))
-        & (edits >= 0)
-        & ((F.greatest(n, m) > LONG_TEXT) | (home == F.col("a.key")))
     )
-    x, y = F.col("left_text"), F.col("right_text")
-    return (
-        a.join(b, condition)
-        .select(
-            F.col("a.text").alias("left_text"),
-            F.col("b.text").alias("right_text"),
-            total.alias("total"),
-            F.abs(n - m).alias("difference"),
-            most.alias("most"),
-            edits.alias("edits"),
-        )
-        # Exploding zero or one distance filters without computing it twice. With
-        # no more edits than the lengths differ, none is a replacement.
-        .select(
-            "left_text",
-            "right_text",
-            "total",
-            F.explode(
-                F.filter(
-                    F.array(
-                        F.when(F.col("edits") == F.col("difference"), F.col("edits")).otherwise(
-                            indel_distance(x, y)
-                        )
-                    ),
-                    lambda d: d <= F.col("most"),
-                )
-            ).alias("distance"),
-        )
-        .select("left_text", "right_text", ratio_of_distance(F.col("distance"), F.col("total")).alias("score"))
+
+
+def _edits(bounds: _Bounds) -> Column:
+    """Bounded Levenshtein distance of a pair; -1 if it is too large for a match."""
+    return F.call_function(
+        "levenshtein", F.col("a.text"), F.col("b.text"), bounds.max_distance(F.col("a.n") + F.col("b.n"))
+    )
+
+
+def _met(a: DataFrame, b: DataFrame, condition: Column, bounds: _Bounds) -> DataFrame:
+    """(left_text, right_text, total, difference, most, edits) of the pairs that pass; all tests are
+    in the join, as a filter on top would be put before them."""
+    n, m = F.col("a.n"), F.col("b.n")
+    return a.join(b, condition).select(
+        F.col("a.text").alias("left_text"),
+        F.col("b.text").alias("right_text"),
+        (n + m).alias("total"),
+        F.abs(n - m).alias("difference"),
+        bounds.max_distance(n + m).alias("most"),
+        _edits(bounds).alias("edits"),
+    )
+
+
+def _short_pairs(left: DataFrame, right: DataFrame | None, bounds: _Bounds, chunk_rows: int) -> DataFrame:
+    """Candidates among texts of up to ``PAIR_KEYS_LENGTH``, each pair once."""
+    a, b = _sides(left, right, chunk_rows)
+    bigrams, total = F.col("a.bigrams"), F.col("a.n") + F.col("b.n")
+    first_two = F.array_intersect("a.prefix", "b.prefix")
+    # The one key under which a pair is reported.
+    first = F.get(first_two, F.lit(0))
+    single = (F.array_position(F.col("a.prefix"), first) <= F.col("a.rare")) | (bounds.shared(total, bigrams) <= 1)
+    home = F.when(single, F.xxhash64(bigrams, first)).otherwise(
+        F.xxhash64(bigrams, first, F.get(first_two, F.lit(1)))
+    )
+    condition = (
+        _cheap_tests(bounds, right is None)
+        & (bigrams == (total > F.lit(float(bounds.shortest_bigram_sum))))  # the key's hash covers the kind of token
+        & (_edits(bounds) >= 0)
+        & (home == F.col("a.key"))
+    )
+    return _met(a, b, condition, bounds)
+
+
+def _long_pairs(left: DataFrame, right: DataFrame | None, bounds: _Bounds, chunk_rows: int) -> DataFrame:
+    """Candidates with a text above ``PAIR_KEYS_LENGTH``, each pair once."""
+    most_rows = F.greatest("left_rows", "right_rows")
+    chunk = F.greatest(F.lit(min(BAND_ROWS, chunk_rows)), F.least(F.lit(chunk_rows), F.ceil(most_rows / BAND_CHUNKS)))
+    a, b = _sides(left, right, chunk)
+    n, m = F.col("a.n"), F.col("b.n")
+
+    def only(x: str, y: str) -> Column:
+        """Bigrams that one text has and the other has not, at least."""
+        words = [F.col(f"{x}.bits{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits{w}"))) for w in range(TOKEN_WORDS)]
+        return reduce(add, map(F.bit_count, words))
+
+    needed = bounds.bigrams_shared(n + m)
+    condition = (
+        _cheap_tests(bounds, right is None)
+        & (F.greatest(n, m) > PAIR_KEYS_LENGTH)
+        & (F.col("a.key") == F.greatest("a.band", "b.band"))
+        & (n - 1 - only("a", "b") >= needed)
+        & (m - 1 - only("b", "a") >= needed)
+        & (_edits(bounds) >= 0)
+    )
+    return _met(a, b, condition, bounds)
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """(left_text, right_text, score) of the candidates whose exact distance is small enough."""
+    exact = F.when(F.col("edits") == F.col("difference"), F.col("edits")).otherwise(
+        indel_distance(F.col("left_text"), F.col("right_text"))
+    )
+    # Exploding zero or one distance filters without computing it twice. With
+    # no more edits than the lengths differ, none is a replacement.
+    close = F.filter(F.array(exact), lambda d: d <= F.col("most"))
+    return pairs.select("left_text", "right_text", "total", F.explode(close).alias("distance")).select(
+        "left_text", "right_text", ratio_of_distance(F.col("distance"), F.col("total")).alias("score")
     )
 
 
+def _blocked_pairs(
+    left: DataFrame, right: DataFrame | None, bounds: _Bounds, hot_rows: int, chunk_rows: int
+) -> DataFrame:
+    """Unequal matching texts with their score, each pair once; no ``right`` means within ``left``."""
+    sides = [left] if right is None else [left, right]
+    tokens = [_exploded_tokens(side.where(F.col("n") <= PAIR_KEYS_LENGTH), bounds) for side in sides]
+    rows = _token_rows(reduce(DataFrame.unionByName, (t.select("token") for t in tokens)))
+    short = [_signatures(_ordered(t, rows), bounds, hot_rows) for t in tokens]
+    long = [_long_signatures(side, bounds) for side in sides]
+    short, long = (pair if right is not None else [*pair, None] for pair in (short, long))
+    return _scored(_short_pairs(*short, bounds, chunk_rows).unionByName(_long_pairs(*long, bounds, chunk_rows)))
+
+
 def similar_texts(
     left: DataFrame,
     right: DataFrame | None,
@@ -321,10 +427,8 @@ def similar_texts(
     """
     bounds = _Bounds(threshold)
     mine = _measured(left, text)
-    my_tokens = _exploded_tokens(mine, bounds)
     if right is None:
-        signatures = _signatures(my_tokens, _token_rows(my_tokens), bounds, hot_rows)
-        once = _blocked_pairs(signatures, None, bounds, chunk_rows)
+        once = _blocked_pairs(mine, None, bounds, hot_rows, chunk_rows)
         # Both orders from one row, instead of a union that would compute the pairs twice.
         x, y = F.col("left_text"), F.col("right_text")
         orders = F.array(
@@ -335,14 +439,7 @@ def similar_texts(
         equal = _texts(left, text)
     else:
         theirs = _measured(right, text)
-        their_tokens = _exploded_tokens(theirs, bounds)
-        rows = _token_rows(my_tokens.select("token").unionByName(their_tokens.select("token")))
-        unequal = _blocked_pairs(
-            _signatures(my_tokens, rows, bounds, hot_rows),
-            _signatures(their_tokens, rows, bounds, hot_rows),
-            bounds,
-            chunk_rows,
-        )
+        unequal = _blocked_pairs(mine, theirs, bounds, hot_rows, chunk_rows)
         equal = _texts(left, text).join(_texts(right, text), "text")
     equal = equal.select(
         F.col("text").alias("left_text"), F.col("text").alias("right_text"), F.lit(100.0).alias("score")

@@ -21,12 +21,14 @@ def hot_grid(
     right: DataFrame | None,
     key: str,
     counted: Column | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | Column = CHUNK_ROWS,
 ) -> DataFrame:
     """(key, l, r): chunks per side of the keys worth cutting. No ``right`` means both sides alike.
 
     Every such key is in it: at most one for each ``chunk_rows`` rows.
 
+    ``chunk_rows`` may be a column of the key, ``left_rows`` and ``right_rows``.
+
     ``counted`` is what is counted per row, a column that is never null. Naming
     one that the sides carry anyway lets their shuffle be read again here.
     """

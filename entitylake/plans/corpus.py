@@ -162,3 +162,8 @@ def landed_responses(spark: SparkSession, folder: str) -> DataFrame:
         # Every article lands twice, as with overlapping look-back windows.
         F.array(article, article).alias("articles"),
     )
+
+
+def lines(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """All lines of a table's texts as rows (text)."""
+    return table(spark, folder, name).select(F.explode(F.split("text", "\n", -1)).alias("text"))

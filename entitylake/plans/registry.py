@@ -113,6 +113,14 @@ def similar_words_wide(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def similar_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole passages, most of them long, against the lines of all documents."""
+    return similar_texts(
+        star.table(spark, folder, "benchmark").select("text"), corpus.lines(spark, folder, "documents"), "text"
+    )
+
+
 @query
 def fuzzy_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Names of entities and their words matched with the words of part names, with the keys of both."""

@@ -255,6 +255,14 @@ _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
         [words_of("benchmark", "small"), words_of("documents", "large"), similar("small", "large", 70)],
         PAIRS, "score", "",
     ),
+    "similar_passages": (
+        [
+            "passages AS (SELECT DISTINCT text FROM benchmark WHERE text IS NOT NULL)",
+            "doc_lines AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS text FROM documents)",
+            similar("passages", "doc_lines"),
+        ],
+        PAIRS, "score", "",
+    ),
     "fuzzy_matches": (
         [STAR_MAPPING],
         """SELECT m.uri AS left_key, CAST(p_partkey AS VARCHAR) AS right_key, true AS match,

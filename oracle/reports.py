@@ -65,7 +65,8 @@ cand AS (
   SELECT x.text AS a, y.text AS b
   FROM (SELECT text, regexp_replace(text, '[^ -~]', '?', 'g') AS flat FROM {texts}) x,
        (SELECT text, regexp_replace(text, '[^ -~]', '?', 'g') AS flat FROM {others or texts}) y
-  WHERE levenshtein(x.flat, y.flat) * 100 <= {100 - threshold} * (length(x.text) + length(y.text))
+  WHERE CASE WHEN abs(length(x.text) - length(y.text)) * 100 <= {100 - threshold} * (length(x.text) + length(y.text))
+    THEN levenshtein(x.flat, y.flat) * 100 <= {100 - threshold} * (length(x.text) + length(y.text)) ELSE false END
 ),
 dp(a, b, i, line) AS (
   SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM cand

@@ -73,6 +73,31 @@ def test_long_texts(spark):
     assert got == matches(values, values, 80)
 
 
+@pytest.mark.parametrize(
+    ("threshold", "options"),
+    [
+        (80, {"hot_rows": 4, "chunk_rows": 3}),  # the bands of lengths are cut into many cells
+        (90, {}),
+        (72, {"chunk_rows": 6}),
+        (60, {}),
+        (100, {}),
+    ],
+)
+def test_long_and_short_texts_of_two_tables(spark, threshold, options):
+    left, right = texts(5, longest=110) + ["x" * 64, "x" * 65], texts(6, longest=110) + ["x" * 63, "x" * 66]
+    got = pairs(similar_texts(frame(spark, left), frame(spark, right), "t", threshold, **options))
+    assert got == matches(left, right, threshold)
+
+
+def test_long_texts_without_rare_tokens(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefghijkl") for _ in range(100)) for _ in range(120)]
+    near = ["".join(c for c in t if rng.random() > 0.1) + "z" * rng.randint(0, 9) for t in base]
+    got = pairs(similar_texts(frame(spark, base + near), None, "t", 80, chunk_rows=50))
+    assert got == matches(base + near, base + near, 80)
+    assert len(got) >= 2 * 240
+
+
 def test_one_text_on_most_rows(spark):
     """A third of all rows and more share one text; each row pair comes out once."""
     left = spark.createDataFrame([(f"k{i}", "Apple Inc") for i in range(40)] + [("x", "Zebra")], "uri string, t string")
