@@ -72,8 +72,8 @@ def refine_entities(store: LayerStore, extract: Extraction | None = None) -> Non
     """Copy the dictionary and list the mentions in its descriptions."""
     extract = extract or gazetteer_of(store)
     entities = store.read(BRONZE_ENTITIES)
-    store.write(entities, SILVER_ENTITIES)
-    store.write(extract(entities, "uri", ["entity_description"]), SILVER_ENTITY_MENTIONS)
+    store.write(entities, SILVER_ENTITIES, sources=[BRONZE_ENTITIES])
+    store.write(extract(entities, "uri", ["entity_description"]), SILVER_ENTITY_MENTIONS, sources=[BRONZE_ENTITIES])
 
 
 def refine_articles(
@@ -85,8 +85,9 @@ def refine_articles(
     """
     extract = extract or gazetteer_of(store)
     articles = store.read(BRONZE_ARTICLES)
-    store.write(one_per_key(articles) if dedupe_articles else articles, SILVER_ARTICLES)
-    store.write(extract(articles, "uri", list(ARTICLE_TEXTS)), SILVER_ARTICLE_MENTIONS)
+    made_from = [BRONZE_ARTICLES, BRONZE_ENTITIES]
+    store.write(one_per_key(articles) if dedupe_articles else articles, SILVER_ARTICLES, sources=made_from)
+    store.write(extract(articles, "uri", list(ARTICLE_TEXTS)), SILVER_ARTICLE_MENTIONS, sources=made_from)
 
 
 def lexicon(positive: Collection[str], negative: Collection[str]) -> Scoring:
@@ -97,7 +98,9 @@ def score_articles(store: LayerStore, score: Scoring) -> None:
     """Sentiment of the article contents."""
     articles = store.read(SILVER_ARTICLES).select("uri", "title", "content")
     store.write(
-        score(articles).select("uri", "title", "sentiment_score", "sentiment_label"), SILVER_SENTIMENT
+        score(articles).select("uri", "title", "sentiment_score", "sentiment_label"),
+        SILVER_SENTIMENT,
+        sources=[SILVER_ARTICLES],
     )
 
 
@@ -105,7 +108,11 @@ def map_entities(store: LayerStore, threshold: float = 80) -> None:
     """Match mentions of known entities with article mentions and with each other."""
     known = store.read(SILVER_ENTITY_MENTIONS)
     articles = store.read(SILVER_ARTICLE_MENTIONS)
-    store.write(layers.source_mapping(known, articles, threshold), SILVER_SOURCE_MAPPING)
+    store.write(
+        layers.source_mapping(known, articles, threshold),
+        SILVER_SOURCE_MAPPING,
+        sources=[SILVER_ENTITY_MENTIONS, SILVER_ARTICLE_MENTIONS],
+    )
     store.write(layers.entity_mapping(known, threshold), SILVER_ENTITY_MAPPING)
 
 
@@ -122,12 +129,15 @@ def publish_mentions(store: LayerStore) -> None:
             store.read(SILVER_SOURCE_MAPPING), store.read(SILVER_ENTITIES), store.read(SILVER_ARTICLES)
         ),
         GOLD_MENTIONS,
+        sources=[SILVER_SOURCE_MAPPING, SILVER_ENTITIES, SILVER_ARTICLES],
     )
 
 
 def publish_sentiment(store: LayerStore) -> None:
     store.write(
-        layers.article_sentiment(store.read(SILVER_ARTICLES), store.read(SILVER_SENTIMENT)), GOLD_SENTIMENT
+        layers.article_sentiment(store.read(SILVER_ARTICLES), store.read(SILVER_SENTIMENT)),
+        GOLD_SENTIMENT,
+        sources=[SILVER_ARTICLES, SILVER_SENTIMENT],
     )
 
 

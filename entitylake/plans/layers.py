@@ -27,7 +27,12 @@ def keyed_entities(rows: DataFrame) -> DataFrame:
 
 def source_mapping(known_mentions: DataFrame, article_mentions: DataFrame, threshold: float = 80) -> DataFrame:
     """Mentions of known entities matched with mentions in articles."""
-    return fuzzy_join(known_mentions, article_mentions, "entity_text", "uri", threshold).select(
+    return mapping_rows(fuzzy_join(known_mentions, article_mentions, "entity_text", "uri", threshold))
+
+
+def mapping_rows(matched: DataFrame) -> DataFrame:
+    """Matched keys of known entities and articles under the mapping's names."""
+    return matched.select(
         F.col("left_key").alias("known_uri"),
         "match",
         "match_string",
