@@ -8,8 +8,10 @@
    that distance meet. The number of chunks puts the expected distance of
    a pair at the threshold five standard deviations below (see ``plan``).
 3. Small buckets give all their pairs. In a large one (near copies by the thousand) members
-   meet three pivots. Pairs within the distance are confirmed on full sets, first each
-   class with its best partner, then only pairs whose ends are not yet connected.
+   meet its smallest one, the pivot; the buckets of copies mostly share theirs, so such pairs fold. Pairs
+   within the distance are confirmed on full sets, first each class with its best partner, then
+   only pairs whose ends are not yet connected. Members that their pivot leaves apart get another one,
+   ``PIVOT_ROUNDS`` times in all.
 4. What is exact for the large buckets: where members of a bucket are still in different components, the buckets
    that share members form clusters. A cluster is cut into chunks of ``CELL`` members, and
    each pair of chunks is a group in which full sets of different components are compared; it
@@ -44,6 +46,7 @@ from entitylake.llm.components import components
 CHUNK = 5
 SMALL_BUCKET = 32
 CELL = 256
+PIVOT_ROUNDS = 3
 _random = np.random.default_rng(5)
 _WORD = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HASH = _random.integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,18 +191,26 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _bucket_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of small buckets, and of each member of a large one with three pivots."""
+    """All pairs of small buckets."""
     few = members.filter(F.col("size") <= SMALL_BUCKET)
     pairs = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key")
-    pairs = pairs.filter(F.col("u") < F.col("v")).select("u", "v")
-    many = members.filter(F.col("size") > SMALL_BUCKET)
-    pivots = many.groupBy("key").agg(
-        F.array(
-            F.min("node"), F.min_by("node", F.xxhash64(F.lit(1), "node")), F.min_by("node", F.xxhash64(F.lit(2), "node"))
-        ).alias("pivots")
+    return pairs.filter(F.col("u") < F.col("v")).select("u", "v")
+
+
+def _pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot; the buckets of copies mostly share theirs."""
+    return members.join(pivots, "key").groupBy(F.col("node").alias("u"), F.col("pivot").alias("v")).agg(F.count(F.lit(1))).select("u", "v")
+
+
+def _apart(members: DataFrame, pivots: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, node) of the members that are not in the component of their bucket's pivot."""
+    named = comps.select("node", F.col("component").alias("cu"))
+    of_pivots = (
+        pivots.join(comps.select(F.col("node").alias("pivot"), "component"), "pivot", "left")
+        .select("key", F.coalesce("component", "pivot").alias("cv"))
     )
-    starred = many.join(pivots, "key").select(F.col("node").alias("u"), F.explode("pivots").alias("v"))
-    return _ordered(pairs.unionByName(starred))
+    found = members.join(of_pivots, "key").join(named, "node", "left")
+    return found.filter(F.coalesce("cu", "node") != F.col("cv")).select("key", "node")
 
 
 def _with_marks(pairs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
@@ -344,7 +355,9 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
     keyed = classes.select("node", "mark").mapInArrow(_mapped(_chunk_keys, p), "key long, node long")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size")).filter(F.col("size") > 1)
     members = stored(keyed.join(sizes, "key"))
-    near = stored(_with_marks(_bucket_pairs(members), classes, p))
+    large = members.filter(F.col("size") > SMALL_BUCKET).select("key", "node")
+    pivots = stored(large.groupBy("key").agg(F.min("node").alias("pivot")))
+    near = stored(_with_marks(_ordered(_bucket_pairs(members).unionByName(_pivot_pairs(large, pivots))), classes, p))
     confirmer = _Confirmer(docs, classes, p)
     confirmer.add(near)
     # Best partner: a close one of small number, so that copies of a text choose the same.
@@ -356,8 +369,18 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
     comps = stored(components(links))
     links = links.unionByName(confirmer.confirm(_between(near, comps)))
     comps = stored(components(links))
-    large = members.filter(F.col("size") > SMALL_BUCKET).join(comps, "node", "left")
-    large = large.withColumn("component", F.coalesce("component", "node"))
+    # Members that the first pivot leaves apart get another one, in their buckets only.
+    open_members = large
+    for _ in range(PIVOT_ROUNDS - 1):
+        open_members = stored(_apart(open_members, pivots, comps))
+        if open_members.isEmpty():
+            break
+        pivots = stored(open_members.groupBy("key").agg(F.min("node").alias("pivot")))
+        near = stored(_with_marks(_between(_ordered(_pivot_pairs(open_members, pivots)), comps), classes, p))
+        confirmer.add(near)
+        links = links.unionByName(confirmer.confirm(near))
+        comps = stored(components(links))
+    large = large.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parted = large.groupBy("key").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("first")
     )
