@@ -23,6 +23,10 @@ def entity_type(column: str) -> Column:
     return F.when(F.col(column) == "GPE", "LOC").otherwise(F.col(column))
 
 
+# Bits that hashed first tokens of phrases are kept in; a full set only sorts out less.
+FIRST_TOKEN_BITS = 1 << 17
+
+
 def _dictionary(gazetteer: DataFrame) -> DataFrame:
     """(parts, labels): tokens of a phrase and all (phrase, type) spelled with them."""
     return (
@@ -36,29 +40,56 @@ def _dictionary(gazetteer: DataFrame) -> DataFrame:
     )
 
 
-def _bytes(dictionary: DataFrame) -> DataFrame:
-    """Bytes of the dictionary and tokens of its longest phrase, one row."""
+def _facts(dictionary: DataFrame) -> DataFrame:
+    """Bytes of the dictionary, tokens of its longest phrase and places of its first tokens, one row."""
     label = F.aggregate(
         "labels", F.lit(0), lambda n, x: n + F.length(x["phrase"]) + F.length(F.coalesce(x["type"], F.lit(""))) + 32
     )
     own = F.length(F.array_join("parts", "")) + F.size("parts") * 16 + 32
     return dictionary.agg(
-        F.sum((label + own).cast("long") * 2).alias("size"), F.max(F.size("parts")).alias("longest")
+        F.sum((label + own).cast("long") * 2).alias("size"),
+        F.max(F.size("parts")).alias("longest"),
+        F.collect_set(_place(F.element_at("parts", 1))).alias("places"),  # at most FIRST_TOKEN_BITS
     )
 
 
-def _spans(texts: DataFrame, dictionary: DataFrame, longest: int, small: bool) -> DataFrame:
+def _place(token: Column) -> Column:
+    """Place of a token in the bit set of first tokens."""
+    return F.pmod(F.xxhash64(token), F.lit(FIRST_TOKEN_BITS))
+
+
+def _bit_set(places: Sequence[int]) -> Column:
+    """Places as one constant array of 64-bit words."""
+    words = [0] * (FIRST_TOKEN_BITS // 64)
+    for place in places:
+        words[place // 64] |= 1 << place % 64
+    signed = (str(w - (1 << 64) if w >> 63 else w) for w in words)
+    return F.split(F.lit(",".join(signed)), ",").cast("array<bigint>")
+
+
+def _may_begin(token: Column, bits: Column) -> Column:
+    place = _place(token)
+    word = F.get(bits, F.floor(place / 64).cast("int"))
+    return F.call_function("getbit", word, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+
+def _spans(texts: DataFrame, dictionary: DataFrame, longest: int, bits: Column, small: bool) -> DataFrame:
     """(key, field, text_id, start, end, labels): where a run of tokens is a dictionary phrase.
 
-    Only positions whose token begins a phrase give runs, of the lengths such
+    A bit set of first tokens sorts out most positions before anything is made of
+    them. Only positions whose token begins a phrase give runs, of the lengths such
     phrases have, and runs are looked up whole, so it does not matter how many
     phrases begin with the same token. A position goes on with no more tokens than
     the longest phrase has. A small dictionary is broadcast for both
     lookups; with a large one Spark joins the first tokens as it sees fit, and runs
     by their hash.
     """
+    places = F.filter(
+        F.transform("tokens", lambda token, i: F.when(_may_begin(token, bits), i)), lambda i: i.isNotNull()
+    )
     ahead = F.transform(
-        "tokens", lambda first, i: F.struct(i.alias("start"), first.alias("first"), F.slice("tokens", i + 1, longest).alias("ahead"))
+        places,
+        lambda i: F.struct(i.alias("start"), F.get("tokens", i).alias("first"), F.slice("tokens", i + 1, longest).alias("ahead")),
     )
     positions = texts.select("key", "field", "text_id", F.explode(ahead).alias("p")).select(
         "key", "field", "text_id", "p.start", "p.first", "p.ahead"
@@ -98,14 +129,15 @@ def extract_mentions(
     """
     dictionary = _dictionary(gazetteer)
     # One small job on the dictionary tells how it can be joined.
-    found = _bytes(dictionary).first()
+    found = _facts(dictionary).first()
     fields = F.array(*[F.col(c) for c in columns])
     texts = (
         df.select(F.col(key).alias("key"), F.posexplode(fields).alias("field", "text"))
         .where(F.col("text").isNotNull())
         .select("key", "field", F.xxhash64("text").alias("text_id"), name_tokens(F.col("text")).alias("tokens"))
     )
-    spans = _spans(texts, dictionary, found["longest"] or 1, (found["size"] or 0) <= broadcast_bytes)
+    bits, small = _bit_set(found["places"]), (found["size"] or 0) <= broadcast_bytes
+    spans = _spans(texts, dictionary, found["longest"] or 1, bits, small)
     # Copies of a text under one key fold together before the window, so a
     # window holds at most the matches of one text.
     spans = spans.distinct()
