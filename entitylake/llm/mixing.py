@@ -141,8 +141,9 @@ def mix(
     targets, fit = stored_rows(source_targets(sizes, weights, repeats), 64)
     words, sources = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
     block = max(1, min(block_words, words // (LEAST_BLOCKS * max(sources, 1))))
-    seats = targets.select(
-        F.lit(0).alias("all"), "place", F.col("target").alias("votes"), F.lit(int(words / block + 0.5)).cast("long").alias("seats")
+    # Stored, as Spark would turn a join on a constant group into a nested loop.
+    seats = stored(
+        targets.select(F.lit(0).alias("all"), "place", F.col("target").alias("votes"), F.lit(int(words / block + 0.5)).cast("long").alias("seats"))
     )
     quotas = stored(apportion(seats, "all", "place").select("place", F.col("quota").alias("blocks")))
     shards_of = F.ceil(F.col("source_size") / shard_words).cast("long")
