@@ -46,7 +46,7 @@ from entitylake.llm.components import components
 CHUNK = 5
 SMALL_BUCKET = 32
 CELL = 256
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 _random = np.random.default_rng(5)
 _WORD = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HASH = _random.integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
