@@ -1,6 +1,6 @@
 """Histogram sort into shards of equal bytes.
 
-The key of a row is an ordered pair of integers. Its range is cut into bins; one
+The key of a row is a list of integers. Its range is cut into bins; one
 job counts exact rows and bytes of every bin (partial counts, so a bin as heavy as
 a third of all rows is one row of each task). Bins that hold a wanted splitter
 are cut again, by the next key once all their rows share one, until every
@@ -12,9 +12,9 @@ round and ``PROBES`` for each open splitter later, whatever the rows. Buckets
 follow ``spark.sql.shuffle.partitions``.
 
 Rows: a null text has no bytes and a null key is the smallest one. Equal texts are
-neighbours, so they share a shard unless a splitter falls among them. Rows equal in both
-keys cannot be parted. An empty table gives no rows; other columns stay, but those
-named as results are replaced.
+neighbours, so they share a shard unless a splitter falls among them. Rows equal in all
+keys cannot be parted; documents have a row number, fixed as their keys are stored, as the last one. An empty table
+gives no rows; other columns stay, but those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ class _Bin:
     place: int
     rows: int
     size: int
-    low: tuple[int, int]
-    high: tuple[int, int]
+    low: tuple[int, ...]
+    high: tuple[int, ...]
     rows_before: int = 0
     bytes_before: int = 0
 
@@ -54,7 +54,7 @@ class Splitters:
 
 def _place(keys: list[Column]) -> Column:
     """Bin of a row in its interval; exact, as 64-bit differences do not fit a long."""
-    value = F.when(F.col("_level") == 0, keys[0]).otherwise(keys[1]).cast("decimal(20,0)")
+    value = F.element_at(F.array(*keys), F.col("_level") + 1).cast("decimal(20,0)")
     return F.floor((value - F.col("_low")) / F.col("_width")).cast("int")
 
 
@@ -90,7 +90,7 @@ def _probe(bins: list[_Bin], fan_out: int, number: int) -> list[tuple]:
 
     probes = []
     for k, b in enumerate(bins):
-        level = 0 if b.low[0] != b.high[0] else 1
+        level = next((i for i, (low, high) in enumerate(zip(b.low, b.high)) if low != high), 0)
         width = -(-(b.high[level] - b.low[level] + 1) // fan_out)
         probes.append((b.interval, b.place, number + k, level, Decimal(b.low[level]), Decimal(width)))
     return probes
@@ -103,13 +103,13 @@ def find_splitters(
     and of ``buckets`` parts that nest in them, within ``loose`` of a bucket's bytes."""
     columns = [F.coalesce(F.col(k).cast("long"), F.lit(LEAST)) for k in keys]
     thin = rows.select(*(c.alias(f"_k{i}") for i, c in enumerate(columns)), F.col(size).alias("_size"))
-    keys_of = [F.col("_k0"), F.col("_k1")]
-    first = thin.agg(
-        F.count(F.lit(1)), F.sum("_size"), F.min("_k0"), F.min("_k1"), F.max("_k0"), F.max("_k1")
-    ).first()
+    n = len(keys)
+    keys_of = [F.col(f"_k{i}") for i in range(n)]
+    counted = [F.count(F.lit(1)), F.sum("_size"), *(f(k) for f in (F.min, F.max) for k in keys_of)]
+    first = thin.agg(*counted).first()
     if not first[0]:
         return None
-    root = _Bin(-1, 0, first[0], first[1], (first[2], first[3]), (first[4], first[5]))
+    root = _Bin(-1, 0, first[0], first[1], tuple(first[2 : 2 + n]), tuple(first[2 + n :]))
     total = root.size
     wanted = [(total * i / buckets, i % (buckets // shards) == 0) for i in range(1, buckets)]
     slack = {True: total / shards * tolerance, False: total / buckets * loose}
@@ -119,17 +119,8 @@ def find_splitters(
     while open_bins:
         probes = _probe(open_bins, fan_out, number)
         live = _opened(live, keys_of, probes)
-        counts = (
-            live.groupBy("_interval", "_place")
-            .agg(
-                F.count(F.lit(1)),
-                F.sum("_size"),
-                *(f(f"_k{i}") for f in (F.min, F.max) for i in range(2)),
-            )
-            .collect()
-        )
-        bins = sorted((_Bin(r[0], r[1], r[2], r[3], (r[4], r[5]), (r[6], r[7])) for r in counts),
-                      key=lambda b: (b.interval, b.place))
+        counts = live.groupBy("_interval", "_place").agg(*counted).collect()
+        bins = sorted((_Bin(*r[:4], tuple(r[4 : 4 + n]), tuple(r[4 + n :])) for r in counts), key=lambda b: (b.interval, b.place))
         parents = {number + k: b for k, b in enumerate(open_bins)}
         number += len(open_bins)
         before: dict[int, tuple[int, int]] = {i: (p.rows_before, p.bytes_before) for i, p in parents.items()}
@@ -211,7 +202,7 @@ def histogram_shards(
 ) -> DataFrame:
     """``rows`` with ``shard`` (0 .. shards - 1, in key order) and ``slot`` (0, 1, .. in the shard).
 
-    ``keys`` are two integer columns, ``size`` the bytes of a row. The frame is read
+    ``keys`` are integer columns, ``size`` the bytes of a row. The frame is read
     once for each round, so it should be a stored table with few columns, or cheap.
     """
     rows = rows.drop("shard", "slot")
@@ -237,7 +228,7 @@ def histogram_shards(
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, size, text_crc32, text_key): what sharding by text needs of the documents."""
+    """Stored (doc_id, size, text_crc32, text_key, row_key): what sharding by text needs of the documents."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     return stored(
         docs.select(
@@ -245,13 +236,14 @@ def document_keys(docs: DataFrame) -> DataFrame:
             (F.length(text).cast("long") + 8).alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64("text").alias("text_key"),
+            F.monotonically_increasing_id().alias("row_key"),
         )
     )
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Documents in shards of equal bytes (text in UTF-8 plus 8 for each row)."""
-    placed = histogram_shards(document_keys(docs), ["text_key", "doc_id"], "size", shards)
+    placed = histogram_shards(document_keys(docs), ["text_key", "doc_id", "row_key"], "size", shards)
     return placed.select(
         "doc_id",
         "size",

@@ -45,6 +45,24 @@ def test_equal_shares_of_a_hot_text(spark):
     assert again == key
 
 
+def test_equal_shares_of_repeated_rows(spark):
+    """A third of the rows are equal in all columns; another third share an id."""
+    hot = prose(1, 40)
+    table = [(7 if i % 3 < 2 else i, hot if i % 3 == 0 else prose(i, 5 + i % 60), "en", "s", 1) for i in range(3000)]
+    rows = shard_documents(documents(spark, table).repartition(5)).collect()
+    assert bag((r.doc_id, r.text_crc32) for r in rows) == bag((i, zlib.crc32(t.encode())) for i, t, *_ in table)
+    assert len({r.shard for r in rows}) == 24
+    laws(rows, 24, max(r.size for r in rows))
+    again = shard_documents(documents(spark, table).repartition(11)).collect()
+    assert bag(again) == bag(rows)
+
+
+def test_one_key(spark):
+    df = spark.range(300).select(F.col("id").alias("i"), F.lit(3).cast("long").alias("size"))
+    rows = histogram_shards(df, ["i"], "size", 3, buckets=6).collect()
+    assert [(r.shard, r.slot) for r in sorted(rows, key=lambda r: r.i)] == [(i // 100, i % 100) for i in range(300)]
+
+
 def test_empty_and_one(spark):
     assert shard_documents(documents(spark, [])).collect() == []
     rows = shard_documents(documents(spark, [(None, None, None, None, None)])).collect()
