@@ -9,7 +9,7 @@ joins the pages with it by shuffling, where adaptive execution splits a hot host
 
 Rows: a null text stays null, a line without a word is never dropped, lines are equal byte
 for byte and a null host is a host of its own. A page of which every line with a word would
-go is a repeated page, not one with boilerplate, and stays whole; so do the pages of
+go is a repeated page, not one with boilerplate, and stays whole (``keep_whole``); so do the pages of
 hosts where a line is on fewer than ``min_pages``. Repeated rows are pages each.
 Extra columns are kept, but those named as results are replaced.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from entitylake.llm.common import BROADCAST_BYTES, let, small, stored
 
-RATIO = 0.1
+RATIO = 0.06
 MIN_PAGES = 3
 
 
@@ -51,8 +51,13 @@ def boilerplate_lines(docs: DataFrame, host: str, ratio: float = RATIO, min_page
     )
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines out of ``text``, and ``n_lines`` and ``n_dropped``."""
+def dedup_lines(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = True
+) -> DataFrame:
+    """``docs`` with boilerplate lines out of ``text``, and ``n_lines`` and ``n_dropped``.
+
+    Without ``keep_whole`` pages of nothing but boilerplate lose these lines, too.
+    """
     docs = docs.drop("n_lines", "n_dropped")
     drops = stored(boilerplate_lines(docs, host, ratio, min_pages))
     keys = drops.agg(F.sum(F.size("_drop") + 4)).first()[0] or 0
@@ -61,6 +66,8 @@ def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
 
     def cleaned(lines: Column) -> Column:
         kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_drop"), _key(line)))
+        if not keep_whole:
+            return kept
         worded = F.length(F.regexp_replace(F.array_join(kept, ""), r"[\x20\x09-\x0D]+", "")) > 0
         return F.when(worded, kept).otherwise(lines)
 
@@ -82,7 +89,7 @@ held AS (SELECT source, line, count(*) AS held FROM line
          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line),
 total AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 boilerplate AS (SELECT source, list(line) AS dropped
-         FROM held JOIN total USING (source) WHERE held >= 3 AND held > pages * CAST(0.1 AS DOUBLE) GROUP BY source),
+         FROM held JOIN total USING (source) WHERE held >= {min_pages} AND held > pages * CAST({ratio} AS DOUBLE) GROUP BY source),
 cut AS (SELECT p.doc_id, p.lines,
          list_filter(p.lines, lambda x: NOT coalesce(list_contains(b.dropped, x), false)) AS kept
          FROM page p LEFT JOIN boilerplate b USING (source)),
@@ -91,4 +98,4 @@ safe AS (SELECT doc_id, lines,
 SELECT doc_id, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped
 FROM safe
-"""
+""".format(ratio=RATIO, min_pages=MIN_PAGES)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from entitylake.llm import ranking
+from entitylake.llm import line_dedup, ranking
 from entitylake.llm.common import shared_folder
 from tests.llm import test_decontamination, test_line_dedup, test_near_dup
 from tests.llm.tables import DOCUMENTS, awkward_rows, bag, documents, prose
@@ -35,7 +35,7 @@ def plain_stages(spark, folder, rows):
     good = Counter((r.doc_id, r.text) for r in ranking.score(docs, model).collect() if r.predicted == 1)
     kept = [r for r in rows if good[r[0], r[1]]]
     yield kept
-    lines = test_line_dedup.plain(kept, 0.1, 3)
+    lines = test_line_dedup.plain(kept, line_dedup.RATIO, 3)
     kept = [(i, text, r[2], r[3], None if text is None else len(text)) for r, (i, text, *_) in zip(kept, lines)]
     yield kept
     verdict = test_near_dup.plain(kept, 5, 80)
