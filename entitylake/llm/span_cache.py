@@ -12,17 +12,25 @@ REMEMBERED = 500_000
 
 
 class SpanCache:
-    """Flat ids of spans. Past ``REMEMBERED`` spans all are forgotten, which changes no result."""
+    """Flat ids of spans. Past ``REMEMBERED`` spans the less used half is forgotten, which changes no result."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint32) -> None:
-        self.encode, self.dtype = encode, dtype
+        self.encode = encode
         self.known: dict[int, int] = {}
-        self._forget()
+        self.at, self.length, self.uses = (np.zeros(1 << 10, dtype=np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 12, dtype=dtype), 0
 
     def _forget(self) -> None:
-        self.known.clear()
-        self.at, self.length = np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
-        self.flat, self.used = np.zeros(1 << 12, dtype=self.dtype), 0
+        """Keeps the more used half; uses are halved, so that spans of earlier texts go in time."""
+        names, n = list(self.known), len(self.known) // 2
+        kept = np.sort(np.argsort(-self.uses[: len(names)], kind="stable")[:n])
+        self.known = {names[k]: slot for slot, k in enumerate(kept.tolist())}
+        lengths = self.length[kept]
+        reach = np.cumsum(lengths) - lengths
+        self.used = int(lengths.sum())
+        self.flat[: self.used] = self.flat[np.arange(self.used) + np.repeat(self.at[kept] - reach, lengths)]
+        self.at[:n], self.length[:n], self.uses[:n] = reach, lengths, self.uses[kept] // 2
+        self.uses[n:] = 0
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         for first in range(0, len(texts), 20_000):
@@ -31,7 +39,7 @@ class SpanCache:
             slot = len(self.known)
             self.known.update(zip(hashes[first : first + len(part)], range(slot, slot + len(part))))
             while len(self.at) < slot + len(part):
-                self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length))
+                self.at, self.length, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.length, self.uses))
             while len(self.flat) < self.used + len(flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.length[slot : slot + len(part)] = lengths
@@ -42,8 +50,9 @@ class SpanCache:
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all spans one after the other, and where those of each span begin (one entry more than spans)."""
         if not len(starts):
-            return np.zeros(0, dtype=self.dtype), np.zeros(1, dtype=np.int64)
-        different, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            return np.zeros(0, dtype=self.flat.dtype), np.zeros(1, dtype=np.int64)
+        hashed = span_hashes(data, starts, ends)
+        different, first, which, uses = np.unique(hashed, return_index=True, return_inverse=True, return_counts=True)
         if len(self.known) > REMEMBERED:
             self._forget()
         hashes = different.tolist()
@@ -51,7 +60,9 @@ class SpanCache:
         raw = data.tobytes()
         texts = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new].tolist()]
         self._learn([hashes[k] for k in new], texts)
-        slots = np.fromiter((self.known[h] for h in hashes), dtype=np.int64, count=len(hashes))[which]
+        slots = np.fromiter(map(self.known.__getitem__, hashes), dtype=np.int64, count=len(hashes))
+        self.uses[slots] += uses
+        slots = slots[which]
         lengths = self.length[slots]
         reach = np.zeros(len(slots) + 1, dtype=np.int64)
         np.cumsum(lengths, out=reach[1:])

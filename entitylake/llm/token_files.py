@@ -9,7 +9,8 @@ documents' ids and lengths.
 Documents are dealt by ranges of doc_id, sorted, encoded and written by the task that
 holds the range, under the name of the attempt and then renamed; file order is document order. Only the
 list of files is looked at as a whole. Texts are encoded in pieces that end before a
-single space, where the tokenizer's pattern always starts a new word, and equal pieces once.
+single space or an ASCII punctuation mark behind a letter or digit, where the tokenizer's pattern always starts
+a new word, and equal pieces once.
 
 Rows: a null text is empty and has the end id only; a null doc_id comes first; repeated
 ids are documents each, in the order of their texts; an empty table writes no file. Other columns do not matter.
@@ -23,6 +24,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
+from string import ascii_letters, digits
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,23 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 # Encoding
 
+ALPHANUMERIC = np.zeros(256, dtype=bool)
+ALPHANUMERIC[np.frombuffer(f"{digits}{ascii_letters}".encode(), dtype=np.uint8)] = True
 
-def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces: documents, and single spaces between visible characters.
+
+def _marks(added: list[str]) -> np.ndarray:
+    """The ASCII punctuation marks, but those that follow a letter or digit inside an added token, which must stay whole."""
+    marks = np.zeros(256, dtype=bool)
+    marks[33:127] = True
+    marks &= ~ALPHANUMERIC
+    for token in added:
+        raw = np.frombuffer(token.encode(), dtype=np.uint8)
+        marks[raw[1:][ALPHANUMERIC[raw[:-1]]]] = False
+    return marks
+
+
+def _piece_starts(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Starts of the pieces: documents, single spaces between visible characters, and marks behind letters or digits.
 
     A neighbour counts as visible if it is ASCII or of two bytes from U+00C0 on, where no space is.
     """
@@ -64,6 +81,7 @@ def _piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         before, after = visible.copy(), visible | ((data >= 0xC3) & (data < 0xE0))
         before[1:] |= two
         starts[1 : n - 1] = (data[1:-1] == 32) & before[:-2] & after[2:]
+        starts[1:n] |= marks[data[1:]] & ALPHANUMERIC[data[:-1]]
     starts[offsets] = True
     starts[n] = False
     return np.flatnonzero(starts)
@@ -77,16 +95,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = _marks([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
         self.pieces = SpanCache(self._encode)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum())), lengths
+        return np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())), lengths
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end id, and their counts."""
-        starts = _piece_starts(data, offsets)
+        starts = _piece_starts(data, offsets, self.marks)
         ids, reach = self.pieces.ids(data, starts, np.append(starts[1:], len(data))[: len(starts)])
         bounds = reach[np.searchsorted(starts, offsets)]
         return np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1

@@ -40,7 +40,7 @@ def test_empty(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab'  \n\t.é漢 　\x85<|>1", max_size=30), max_size=6))
+@given(st.lists(st.text(alphabet="st.,-(ab'  \n\t.é漢 　\x85<|>1", max_size=30), max_size=6))
 def test_pieces_give_the_tokenizers_ids(texts):
     encoder = token_files.encoder(token_files.public_tokenizer())
     raw = [t.encode() for t in texts]
@@ -51,6 +51,31 @@ def test_pieces_give_the_tokenizers_ids(texts):
     assert counts.tolist() == [len(x) for x in expected]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "it's", "we'll", "x", "9", ".", ",", "'s", "'", "|", "<", " ", "  ", "\n", "end", "é", "漢"]), max_size=14))
+def test_pieces_around_marks_and_added_tokens(parts):
+    encoder = token_files.encoder(token_files.public_tokenizer())
+    raw = "".join(parts).encode()
+    ids, _ = encoder.encode(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+    assert ids.tolist() == encoder.tokenizer.encode(raw.decode(), add_special_tokens=False).ids + [2]
+
+
+def test_forgetting_changes_no_result(monkeypatch, tokenizer):
+    monkeypatch.setattr("entitylake.llm.span_cache.REMEMBERED", 40)
+    encoder = token_files.Encoder(token_files.public_tokenizer())
+    for i in range(30):
+        raw = (prose(i % 7, 30) + " often often, often " + prose(100 + i, 20)).encode()
+        ids, _ = encoder.encode(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == tokenizer.encode(raw.decode(), add_special_tokens=False).ids + [2]
+    known = len(encoder.pieces.known)
+    encoder.pieces._forget()
+    assert len(encoder.pieces.known) == known // 2
+    monkeypatch.setattr("entitylake.llm.span_cache.REMEMBERED", 1000)
+    raw = b"a often often"
+    encoder.pieces.ids(np.frombuffer(raw, dtype=np.uint8), np.array([1]), np.array([7]))
+    assert len(encoder.pieces.known) == known // 2, "a span in steady use is remembered"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, (1 << 32) - 1) | st.integers(0, 50), max_size=1200))
 def test_blocks(values):
