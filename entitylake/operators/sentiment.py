@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from entitylake.functions.similarity import bind
 from entitylake.functions.text import first_words, name_tokens
 
-MAX_WORDS = 512  # words a model takes of a text; word lists read all of it
-
 Scorer = Callable[[Sequence[str]], Sequence[tuple[float, str]]]
 
 
@@ -66,13 +64,13 @@ def score_sentiment(
 
 
 def score_with_model(
-    df: DataFrame, text: str, load: Callable[[], Scorer], max_words: int | None = MAX_WORDS
+    df: DataFrame, text: str, load: Callable[[], Scorer], max_words: int | None = None
 ) -> DataFrame:
     """As :func:`score_sentiment`, with a model.
 
     ``load`` is called once per task and returns a function that scores a batch
-    of texts. Texts are shortened in the JVM to what the model takes (``max_words``, or
-    None for all of it); empty ones and texts the model fails on are (0, NEUTRAL).
+    of texts. It gets whole texts, or, if it takes no more than ``max_words``, that many first words, cut
+    in the JVM; empty texts and texts the model fails on are (0, NEUTRAL).
     """
     schema = T.StructType(
         [f for f in df.schema.fields]

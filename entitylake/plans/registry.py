@@ -164,7 +164,7 @@ def model_mentions(spark: SparkSession, folder: str) -> DataFrame:
 def model_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """The sentiment hook with a batch function: exclamation marks, on whole texts."""
     articles = corpus.articles(spark, folder).select("uri", "title", "content")
-    rated = score_with_model(articles, "content", corpus.exclamation_model, max_words=None)
+    rated = score_with_model(articles, "content", corpus.exclamation_model)
     return rated.select("uri", "title", "sentiment_score", "sentiment_label")
 
 
