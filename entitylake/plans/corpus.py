@@ -90,6 +90,10 @@ def capitalised_words(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return table(spark, folder, name).select(F.explode(_found("text", CAPITALISED)).alias("word"))
 
 
+def document_words(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.explode(_found("text", CAPITALISED)).alias("word"))
+
+
 def scored_articles(spark: SparkSession, folder: str) -> DataFrame:
     return score_sentiment(articles(spark, folder), "content", POSITIVE, NEGATIVE)
 

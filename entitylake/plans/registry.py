@@ -14,7 +14,9 @@ from entitylake.functions.text import first_words, word_count
 from entitylake.operators import evaluation
 from entitylake.operators.fuzzy_join import fuzzy_join, similar_texts
 from entitylake.operators.mentions import extract_with_model
+from entitylake.operators.pairs import fold, pairs_under_key
 from entitylake.operators.sentiment import normal_label, score_with_model
+from entitylake.operators.top_pairs import strong_sides
 from entitylake.plans import corpus, layers, star
 from entitylake.sources.articles import flatten_responses, in_window, one_per_key
 
@@ -121,6 +123,20 @@ def similar_passages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def frequent_word_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty pairs of capitalised words that are together in most documents, without forming all pairs."""
+    items, others = strong_sides(fold(corpus.document_words(spark, folder), "doc_id", "word"), least=2, best=50)
+    return (
+        pairs_under_key(items, others, weighted=False)
+        .groupBy(F.col("one.item").alias("word1"), F.col("two.item").alias("word2"))
+        .agg(F.count(F.lit(1)).alias("documents"))
+        .where(F.col("documents") >= 2)
+        .orderBy(F.desc("documents"), "word1", "word2")
+        .limit(50)
+    )
+
+
 @query
 def fuzzy_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Names of entities and their words matched with the words of part names, with the keys of both."""

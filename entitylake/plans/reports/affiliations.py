@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from entitylake.functions.measures import down, up
 from entitylake.operators.pairs import fold, in_keys, pairs_under_key
+from entitylake.operators.top_pairs import strong_sides
 from entitylake.plans.reports.common import (
     ANY,
     Moment,
@@ -139,12 +140,13 @@ def news_relevance_over_time(
 
 
 @report
-def related_entities(tables: ReportTables, *, entity_type: str = ANY) -> DataFrame:
+def related_entities(tables: ReportTables, *, entity_type: str = ANY, prune: bool = False) -> DataFrame:
     """The twenty pairs of entities found together in most articles, in two at least."""
     mentions = keep(tables.mentions, is_one_of("entity_type", entity_type))
-    items = in_keys(fold(mentions, "source_uri", "entity_name"), 2)
+    items = fold(mentions, "source_uri", "entity_name")
+    items, others = strong_sides(items, least=2, best=20) if prune else [in_keys(items, 2)] * 2
     return (
-        pairs_under_key(items, items, weighted=False)
+        pairs_under_key(items, others, weighted=False)
         # One row per article and pair, so counting rows counts articles.
         .groupBy(F.col("one.item").alias("entity1"), F.col("two.item").alias("entity2"))
         .agg(F.count(F.lit(1)).alias("co_occurrence_count"))

@@ -1,4 +1,8 @@
-"""What the reports share: their input tables, optional filters and summaries."""
+"""What the reports share: their input tables, optional filters and summaries.
+
+Reports on pairs take ``prune``: entities that cannot be in a pair of the result are left out before pairs
+are formed. The rows are the same; it pays where few entities hold most mentions and costs time where all are alike.
+"""
 
 from __future__ import annotations
 

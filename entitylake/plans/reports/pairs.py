@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from entitylake.functions.measures import LABELS, dominant_label, down, pearson, up
 from entitylake.operators.pairs import fold, in_keys, pair_weight, pairs_under_key
+from entitylake.operators.top_pairs import strong_sides
 from entitylake.plans.reports.common import (
     ANY,
     Moment,
@@ -27,6 +28,9 @@ def _scored_pairs(
     date_to: Moment,
     *extra: str | Column,
     typed: bool = False,
+    prune: bool = False,
+    least: int = 1,
+    best: int | None = None,
 ) -> DataFrame:
     """Pairs of entities per article, with the article's sentiment on the left side.
 
@@ -34,7 +38,8 @@ def _scored_pairs(
     for weight x sums. The period bounds the left mention only. Types are kept
     where the result or the type filter needs them. Articles that cannot give a
     pair, as they have no left mention or none of the wanted type, are left out
-    before the right side is folded.
+    before the right side is folded; with ``prune``, entities that cannot reach ``least`` common
+    mentions (of a pair, and each value of ``extra``) or the ``best`` pairs, after it.
     """
     typed = typed or entity_type != ANY
     types = ("entity_type",) if typed else ()
@@ -58,7 +63,13 @@ def _scored_pairs(
         condition = (F.col("one.entity_type") == entity_type) | (
             F.col("two.entity_type") == entity_type
         )
-    return pairs_under_key(left.join(scores, "key"), right, condition, loads=left)
+    scored = left.join(scores, "key")
+    if prune:
+        load = F.col("weight") * F.col("scored_rows")
+        names = [c for c in left.columns if c not in ("key", "item", "weight", "entity_type")]
+        scored, right = strong_sides(scored, right, load, F.col("weight"), least, best, condition, left_within=names)
+        left = scored
+    return pairs_under_key(scored, right, condition, loads=left)
 
 
 def _pair_totals(pairs: DataFrame, *keys: Column) -> DataFrame:
@@ -88,10 +99,11 @@ def pair_sentiment(
     entity_type: str = ANY,
     date_from: Moment = None,
     date_to: Moment = None,
+    prune: bool = False,
 ) -> DataFrame:
     """Sentiment of the fifty most frequent pairs of entities."""
     top = (
-        _pair_totals(_scored_pairs(tables, entity_type, date_from, date_to))
+        _pair_totals(_scored_pairs(tables, entity_type, date_from, date_to, prune=prune, least=min_co_mentions, best=50))
         .where(F.col("co_mentions") >= min_co_mentions)
         .orderBy(down("co_mentions"), down("avg_sentiment_score"), up("entity1"), up("entity2"))
         .limit(50)
@@ -107,10 +119,11 @@ def relationships_by_sentiment(
     entity_type: str = ANY,
     date_from: Moment = None,
     date_to: Moment = None,
+    prune: bool = False,
 ) -> DataFrame:
     """Pairs by the label most of their common mentions have."""
     totals = (
-        _pair_totals(_scored_pairs(tables, entity_type, date_from, date_to))
+        _pair_totals(_scored_pairs(tables, entity_type, date_from, date_to, prune=prune, least=min_co_mentions))
         .where(F.col("co_mentions") >= min_co_mentions)
         .withColumn("dominant_sentiment", _dominant())
         .drop("avg_sentiment_score")
@@ -133,9 +146,10 @@ def sentiment_network(
     entity_type: str = ANY,
     date_from: Moment = None,
     date_to: Moment = None,
+    prune: bool = False,
 ) -> DataFrame:
     """Edges between entities with strength, mean score and dominant label."""
-    pairs = _scored_pairs(tables, entity_type, date_from, date_to, typed=True)
+    pairs = _scored_pairs(tables, entity_type, date_from, date_to, typed=True, prune=prune, least=min_co_mentions)
     types = (
         F.col("one.entity_type").alias("source_type"),
         F.col("two.entity_type").alias("target_type"),
@@ -238,6 +252,7 @@ def pair_sentiment_change(
     entity_type: str = ANY,
     date_from: Moment = None,
     date_to: Moment = None,
+    prune: bool = False,
 ) -> DataFrame:
     """The hundred largest changes of a pair's monthly score against its month before."""
     month = F.date_trunc("month", "source_published_at").alias("month")
@@ -245,7 +260,7 @@ def pair_sentiment_change(
     now, before = F.col("avg_sentiment_score"), F.col("prev_sentiment_score")
     return (
         _pair_totals(
-            _scored_pairs(tables, entity_type, date_from, date_to, month),
+            _scored_pairs(tables, entity_type, date_from, date_to, month, prune=prune, least=min_monthly_mentions),
             F.col("one.month").alias("month"),
         )
         .where(F.col("co_mentions") >= min_monthly_mentions)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from entitylake.functions.measures import down, month_name, percent_change, up
 from entitylake.operators.pairs import fold, pairs_under_key
+from entitylake.operators.top_pairs import strong_sides
 from entitylake.plans.reports.common import (
     ANY,
     Moment,
@@ -149,6 +150,7 @@ def pair_mention_trends(
     entity_name: str = ANY,
     date_from: Moment = None,
     date_to: Moment = None,
+    prune: bool = False,
 ) -> DataFrame:
     """The ten most frequent pairs of each month (ties kept), by number of common articles."""
     items = fold(_dated(tables, date_from, date_to), "source_uri", "entity_name", _month())
@@ -158,9 +160,12 @@ def pair_mention_trends(
         # Only articles that mention the entity can contribute a pair with it.
         articles = items.where(F.col("item") == entity_name).select("key", "month").distinct()
         items = items.join(articles, ["key", "month"], "left_semi")
+    others = items
+    if prune:
+        items, others = strong_sides(items, best=10, condition=wanted, within=("month",))
     place = Window.partitionBy("month").orderBy(F.desc("co_mention_count"))
     return (
-        pairs_under_key(items, items, wanted, also_equal=("month",), weighted=False)
+        pairs_under_key(items, others, wanted, also_equal=("month",), weighted=False)
         .groupBy(
             F.col("one.month").alias("month"),
             F.col("one.item").alias("entity1"),

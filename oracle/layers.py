@@ -238,6 +238,14 @@ _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
         "SELECT uri, title, sentiment_score, sentiment_label FROM rated",
         "sentiment_score", "",
     ),
+    "frequent_word_pairs": (
+        [f"found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM documents)"],
+        """
+SELECT a.word AS word1, b.word AS word2, count(*) AS documents
+FROM found a JOIN found b ON a.doc_id = b.doc_id AND a.word < b.word
+GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY documents DESC, word1, word2 LIMIT 50""",
+        "", "",
+    ),
     "word_counts": (
         [KEPT],
         "SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(kept_words AS INTEGER) AS kept_words, sha256(kept) AS kept_text FROM kept",
