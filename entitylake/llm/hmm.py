@@ -5,8 +5,8 @@ emit come from Baum-Welch over all training texts: every task sums expected coun
 the sums are added by word in buckets of the vocabulary, stored, and joined to the blocks in the next round.
 The weight of unknown words (as many as there are words seen once) is that of ``CLASSES`` classes of words by hash,
 from exact counts of all training tokens; the driver gets sums of classes, whatever the corpus. A text's score is the exact likelihood of the whole
-sequence by the scaled forward recursion. (In training alone, texts are cut into
-stretches of ``STRETCH`` tokens, whose first state follows the mean state.)
+sequence by the scaled forward recursion. Training passes through texts in stretches of ``STRETCH`` tokens at once; forward
+states and backward messages are carried over their edges, so expected counts are those of whole texts.
 
 Words travel as blocks: the texts of one Arrow batch with a vocabulary of their own. Counts are joined to the
 words of blocks, not to tokens, so what is shuffled follows the vocabularies.
@@ -35,8 +35,9 @@ STATES = 8
 CLASSES = 1 << 16
 END = CLASSES
 ROUNDS = 6
-STRETCH = 256
+STRETCH = 1024
 GROUP = 2048
+GROUP_TOKENS = 1 << 19
 BLOCK_SCHEMA = (
     "doc_ids array<long>, held_out array<boolean>, counts array<long>, tokens binary, words array<long>, trained array<long>"
 )
@@ -143,21 +144,64 @@ class Expected:
 
 
 def expect(model: Model, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, fresh: np.ndarray, into: Expected) -> None:
-    """Adds the expected counts of the stretches starts[i] .. ends[i]; fresh ones begin a text."""
+    """Adds the expected counts of texts in stretches starts[i] .. ends[i].
+
+    Fresh stretches begin a text; others go on with the text of the stretch before them.
+    """
     lengths = ends - starts
+    entry, leave = _edges(model, symbols, starts, lengths, fresh)
     order = np.argsort(-lengths, kind="stable")
-    for first in range(0, len(order), GROUP):
-        some = order[first : first + GROUP]
-        _expect_group(model, symbols, starts[some], lengths[some], fresh[some], into)
+    first = 0
+    while first < len(order):
+        some = order[first : first + min(GROUP, max(1, GROUP_TOKENS // int(lengths[order[first]])))]
+        _expect_group(model, symbols, starts[some], lengths[some], fresh[some], entry[some], leave[some], into)
+        first += len(some)
+
 
+def _edges(model: Model, symbols, starts, lengths, fresh) -> tuple[np.ndarray, np.ndarray]:
+    """The state before each stretch, given the text so far, and the message from the text behind it.
 
-def _expect_group(model: Model, symbols, starts, lengths, fresh, into: Expected) -> None:
-    longest, states = int(lengths[0]), len(model.first)
+    A stretch of a text that is cut is a matrix from the state before it to the state at its end, found for all of
+    them together; the matrices of a text are then passed from first to last and back. Messages are up to a factor.
+    """
+    states = len(model.first)
+    entry, leave = np.ones((len(starts), states)), np.ones((len(starts), states))
+    goes_on = np.append(~fresh[1:], False)
+    cut = np.flatnonzero(goes_on | ~fresh)
+    if not len(cut):
+        return entry, leave
+    order = cut[np.argsort(-lengths[cut], kind="stable")]
+    sizes = -lengths[order]
+    through = np.repeat(np.eye(states)[None], len(order), axis=0)
+    for t in range(int(-sizes[0])):
+        n = int(np.searchsorted(sizes, -t, side="left"))
+        moved = through[:n] @ model.moves
+        if t == 0:
+            moved = np.where(fresh[order, None, None], through, moved)
+        moved *= model.emits[symbols[starts[order[:n]] + t]][:, None, :]
+        through[:n] = moved / moved.sum(axis=(1, 2), keepdims=True)
+    place = np.empty(len(starts), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    for i in cut:
+        if fresh[i]:
+            entry[i] = model.first
+        if goes_on[i]:
+            ahead = entry[i] @ through[place[i]]
+            entry[i + 1] = ahead / ahead.sum()
+    for i in cut[::-1]:
+        if not fresh[i]:
+            back = through[place[i]] @ leave[i]
+            leave[i - 1] = back / back.sum()
+    return entry, leave
+
+
+def _expect_group(model: Model, symbols, starts, lengths, fresh, entry, leave, into: Expected) -> None:
+    longest = int(lengths[0])
     live = np.searchsorted(-lengths, -np.arange(longest), side="left")  # stretches longer than t
     seen = [symbols[starts[: live[t]] + t] for t in range(longest)]
     emitted = [model.emits[s] for s in seen]
     forward, scales = [], []
-    state = np.where(fresh[:, None], model.first, model.mean)
+    state = np.where(fresh[:, None], model.first, entry @ model.moves)
     for t in range(longest):
         n = live[t]
         state = (state[:n] if t == 0 else state[:n] @ model.moves) * emitted[t]
@@ -166,19 +210,21 @@ def _expect_group(model: Model, symbols, starts, lengths, fresh, into: Expected)
         forward.append(state)
         scales.append(scale)
     into.log10 += sum(float(np.log10(s).sum()) for s in scales)
-    back = np.ones((live[-1], states))
     shares = [None] * longest
+    back = leave[:0]
     for t in range(longest - 1, -1, -1):
+        # Stretches that end here begin with the message from behind them.
+        last = slice(len(back), live[t])
+        message = leave[last]
+        back = np.concatenate([back, message / (forward[t][last] * message).sum(axis=1, keepdims=True)])
         shares[t] = forward[t] * back
-        if t:
-            ahead = emitted[t] * back / scales[t]
-            into.moves += (forward[t - 1][: live[t]].T @ ahead) * model.moves
-            grown = np.ones((live[t - 1], states))
-            grown[: live[t]] = ahead @ model.moves.T
-            back = grown
+        ahead = emitted[t] * back / scales[t]
+        before = forward[t - 1][: live[t]] if t else entry * ~fresh[:, None]
+        into.moves += (before.T @ ahead) * model.moves
+        back = ahead @ model.moves.T
     into.first += shares[0][fresh].sum(axis=0)
     flat, all_shares = np.concatenate(seen), np.concatenate(shares)
-    for s in range(states):
+    for s in range(len(model.first)):
         into.emits[:, s] += np.bincount(flat, all_shares[:, s], minlength=len(into.emits))
 
 

@@ -56,6 +56,37 @@ def test_expected_counts_are_means_over_all_paths():
         assert np.allclose(getattr(got, name), getattr(want, name))
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 7, 64])
+def test_stretches_give_the_counts_of_whole_texts(monkeypatch, stretch):
+    """Texts cut into stretches against the same texts in one piece, and against sums over all paths."""
+    random, model = np.random.default_rng(stretch), small_model(symbols=6)
+    lengths = np.array([1, 400, 2, 7, 8, 63, 64, 65, 128, 300])
+    symbols, bounds = random.integers(0, 6, lengths.sum()), np.concatenate([[0], np.cumsum(lengths)])
+    whole, got = hmm.Expected.none(3, 6), hmm.Expected.none(3, 6)
+    hmm.expect(model, symbols, bounds[:-1], bounds[1:], np.ones(10, dtype=bool), whole)
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "GROUP_TOKENS", 100)
+    cut = hmm.stretches(hmm._Sequences(symbols, bounds, np.zeros(10, dtype=bool)))
+    assert len(cut[0]) > 10
+    hmm.expect(model, symbols, *cut, got)
+    for name in ("first", "moves", "emits", "log10"):
+        assert np.allclose(getattr(got, name), getattr(whole, name))
+    assert whole.log10 == pytest.approx(hmm.forward_log10(model, model.emits[symbols], bounds).sum())
+    assert whole.moves.sum() == pytest.approx(lengths.sum() - 10) and whole.emits.sum() == pytest.approx(lengths.sum())
+
+
+def test_stretches_cover_every_training_token(spark):
+    """Every token of a training text is in one stretch, and each text begins once."""
+    rows = [(i, prose(i, 90 + 40 * i), "en", "s", 1) for i in range(12)]
+    blocks = hmm.word_blocks(documents(spark, rows))
+    for batch in blocks.toArrow().to_batches():
+        for row in range(batch.num_rows):
+            sequences = hmm._sequences(batch, row, np.arange(len(batch.column("words")[row])), len(batch.column("words")[row]))
+            starts, ends, fresh = hmm.stretches(sequences)
+            assert fresh.sum() == (~sequences.held_out).sum()
+            assert (ends - starts).sum() == np.diff(sequences.bounds)[~sequences.held_out].sum()
+
+
 def test_rounds_raise_the_likelihood(spark):
     docs = documents(spark, [(i, prose(i % 7, 60), "en", "s", 1) for i in range(60)])
     blocks = hmm.word_blocks(docs)
