@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from entitylake.sources import splits
+
 # One row per finished write of a file table: its folder, whether it replaced the
 # table, and the versions of the tables it was made from.
 COMMITS = "version long, folder string, replaces boolean, partitioned boolean, sources map<string, bigint>"
@@ -47,8 +49,8 @@ class LayerStore:
         """A layer table; ``options`` go to the reader, besides those of the store and the table.
 
         For JDBC name at least ``partitionColumn``, ``lowerBound``,
-        ``upperBound`` and ``numPartitions`` for a large table: without them
-        one task reads all of it.
+        ``upperBound`` and ``numPartitions`` for a large table, or use ``read_in_parts``:
+        else one task reads all of it.
         """
         options = {**self.table_options.get(name, {}), **options}
         if self.format == "table":
@@ -59,6 +61,26 @@ class LayerStore:
         commits = self._commits(name)
         return self._load(name, commits, options) if commits else reader.load(self._path(name))
 
+    def read_in_parts(self, name: str, column: str, parts: int, bins: int = 1000) -> DataFrame:
+        """A database table in parts of about equal rows by an integer column, planned from counts that the database makes."""
+        if self.format != "jdbc":
+            return self.read(name)
+
+        def ask(query: str) -> list:
+            return self.spark.read.format("jdbc").options(**self.options).option("query", query).load().collect()
+
+        low, high = ask(splits.range_query(name, column))[0]
+        if low is None:
+            return self.read(name)
+        low, high = int(low), int(high)
+        counts = [(int(b), int(n)) for b, n in ask(splits.counts_query(name, column, low, high, bins))]
+        predicates = splits.split_predicates(column, splits.split_bounds(low, high, counts, bins, parts))
+        options = {**self.options, **self.table_options.get(name, {})}
+        for bound in ("partitionColumn", "lowerBound", "upperBound", "numPartitions"):
+            options.pop(bound, None)
+        url = options.pop("url")
+        return self.spark.read.jdbc(url, name, predicates=predicates, properties=options)
+
     def _commits(self, name: str) -> list:
         """Commits that make up a file table: the last that replaced it, and what was added since."""
         if self.format in ("table", "jdbc"):
