@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from entitylake.functions.keys import composite_key
 from entitylake.functions.similarity import fuzzy_match
 from entitylake.functions.text import first_words, word_count
 from entitylake.operators import evaluation
+from entitylake.operators.distinct_states import day_states, distinct_counts
 from entitylake.operators.fuzzy_join import fuzzy_join, similar_texts
 from entitylake.operators.mentions import extract_with_model
 from entitylake.operators.pairs import fold, pairs_under_key
@@ -137,6 +139,17 @@ def frequent_word_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def active_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Different customers of each order priority by month, quarter and year, all from the same states of days."""
+    states = day_states(star.table(spark, folder, "orders"), "o_orderdate", "o_custkey", ["o_orderpriority"])
+    grains = [
+        distinct_counts(states, grain, ["o_orderpriority"]).withColumn("grain", F.lit(grain))
+        for grain in ("month", "quarter", "year")
+    ]
+    return reduce(DataFrame.unionByName, grains)
+
+
 @query
 def fuzzy_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Names of entities and their words matched with the words of part names, with the keys of both."""

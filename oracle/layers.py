@@ -238,6 +238,13 @@ _STATEMENTS: dict[str, tuple[list[str], str, str, str]] = {
         "SELECT uri, title, sentiment_score, sentiment_label FROM rated",
         "sentiment_score", "",
     ),
+    "active_customers": (
+        ["grains AS (SELECT unnest(['month', 'quarter', 'year']) AS grain)"],
+        """
+SELECT o_orderpriority, grain, CAST(date_trunc(grain, o_orderdate) AS DATE) AS period, count(DISTINCT o_custkey) AS different
+FROM orders CROSS JOIN grains GROUP BY ALL""",
+        "", "",
+    ),
     "frequent_word_pairs": (
         [f"found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM documents)"],
         """
