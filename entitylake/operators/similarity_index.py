@@ -58,10 +58,8 @@ class SimilarityIndex:
     def _between(self, short: DataFrame, long: DataFrame, others: bool) -> DataFrame:
         """Pairs of signed texts with the stored ones, or with each other."""
         theirs = (self._read("short"), self._read("long")) if others else (None, None)
-        met = joins._short_pairs(short, theirs[0], self._bounds, self.chunk_rows).unionByName(
-            joins._long_pairs(long, theirs[1], self._bounds, self.chunk_rows)
-        )
-        return joins._scored(met)
+        met = joins._short_pairs(short, theirs[0], self._bounds, self.chunk_rows)
+        return joins._scored(met).unionByName(joins._long_pairs(long, theirs[1], self._bounds, self.chunk_rows))
 
     def rebuild(self, df: DataFrame, text: str, sources: tuple[str, ...] = ()) -> None:
         """A new version with the texts of a column: their own frequencies make the order."""
