@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.functions.measures import LABELS, dominant_label, down, pearson, up
+from entitylake.operators.correlated_pairs import is_dense, most_correlated, sizes_of
 from entitylake.operators.pairs import fold, in_keys, pair_weight, pairs_under_key
 from entitylake.operators.top_pairs import strong_sides
 from entitylake.plans.reports.common import (
@@ -202,14 +203,24 @@ def sentiment_correlation(
         .when(r >= -0.7, "Moderate Negative")
         .otherwise("Strong Negative")
     )
-    return (
-        pairs_under_key(items, items, weighted=False)
-        .groupBy(F.col("one.item").alias("entity1"), F.col("two.item").alias("entity2"))
-        .agg(
-            F.count(F.lit(1)).alias("common_sources"),
-            pearson(F.col("one.mean_score"), F.col("two.mean_score")).alias("sentiment_correlation"),
+    values = items.select("item", "key", F.col("mean_score").alias("value"))
+    sizes = sizes_of(values)
+    if is_dense(sizes):
+        pairs = most_correlated(values, min_common_sources, 50, sizes).select(
+            F.col("one").alias("entity1"), F.col("two").alias("entity2"), F.col("common").alias("common_sources"),
+            F.col("r").alias("sentiment_correlation"),
+        )
+    else:
+        pairs = (
+            pairs_under_key(items, items, weighted=False)
+            .groupBy(F.col("one.item").alias("entity1"), F.col("two.item").alias("entity2"))
+            .agg(
+                F.count(F.lit(1)).alias("common_sources"),
+                pearson(F.col("one.mean_score"), F.col("two.mean_score")).alias("sentiment_correlation"),
+            )
         )
-        .where((F.col("common_sources") >= min_common_sources) & r.isNotNull())
+    return (
+        pairs.where((F.col("common_sources") >= min_common_sources) & r.isNotNull())
         .withColumn("correlation_strength", strength)
         .orderBy(F.abs(r).desc(), down("common_sources"), up("entity1"), up("entity2"))
         .limit(50)
