@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylake.functions.text import name_tokens
+from entitylake.operators.sentiment import bounded_batches
 from entitylake.schemas import MENTIONS
 
 # Dictionaries up to this many bytes are sent to all executors, larger ones are shuffled.
@@ -178,6 +179,7 @@ def extract_with_model(
             ]
             yield pd.DataFrame(rows, columns=MENTIONS.names)
 
+    bounded_batches(df.sparkSession)
     texts = df.select(
         F.col(key).alias("uri"), F.explode(F.array(*[F.col(c) for c in columns])).alias("text")
     ).where(F.col("text").isNotNull() & (F.col("text") != ""))

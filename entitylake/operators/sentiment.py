@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +14,18 @@ from entitylake.functions.text import first_words, name_tokens
 
 MAX_WORDS = 512  # words a model takes of a text; word lists read all of it
 
+# Rows and bytes that a task hands to a model at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 Scorer = Callable[[Sequence[str]], Sequence[tuple[float, str]]]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of Python functions bounded in rows and bytes, whatever a partition holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def normal_label(label: Column) -> Column:
     """Model labels in the three-valued vocabulary of the reports."""
     name = F.upper(F.trim(label))
@@ -99,6 +108,7 @@ def score_with_model(
                 sentiment_score=[float(s) for s, _ in rated], sentiment_label=[name for _, name in rated]
             )
 
+    bounded_batches(df.sparkSession)
     given = F.col(text) if max_words is None else first_words(F.col(text), max_words)
     scored = df.withColumn("_text", given).mapInPandas(run, schema)
     return scored.withColumn("sentiment_label", normal_label(F.col("sentiment_label")))

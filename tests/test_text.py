@@ -126,3 +126,13 @@ def test_labels(spark):
     got = [r[0] for r in df.select(normal_label(F.col("l"))).collect()]
     assert got == ["POSITIVE", "NEGATIVE", "NEGATIVE", "NEUTRAL"]
     assert pd.__version__
+
+
+def test_models_get_bounded_batches(spark):
+    def load():
+        return lambda texts: [(float(len(texts)), "NEUTRAL")] * len(texts)
+
+    df = spark.range(2500, numPartitions=1).select("id", F.lit("some words").alias("t"))
+    assert score_with_model(df, "t", load).agg(F.max("sentiment_score")).first()[0] <= 1000
+    long = spark.range(400, numPartitions=1).select("id", F.repeat(F.lit("long "), 20_000).alias("t"))
+    assert score_with_model(long, "t", load, max_words=None).agg(F.max("sentiment_score")).first()[0] < 400
