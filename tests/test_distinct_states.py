@@ -18,3 +18,10 @@ def test_counts_from_day_states_of_two_loads(spark, grain):
     period = F.date_trunc(grain, "d").cast("date").alias("period")
     want = parts[0].union(parts[1]).where("n IS NOT NULL").groupBy("g", period).agg(F.count_distinct("n").alias("different"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_state_of_few_ids_is_small(spark):
+    """Ids far apart have a state each, of a word and not of a bitmap of thousands of ids."""
+    df = spark.range(50).select(F.lit(date(2024, 1, 1)).alias("d"), (F.col("id") * 100_000).alias("n"))
+    states = day_states(df, "d", "n")
+    assert states.count() == 50 and dict(states.dtypes)["ids"] == "bigint"
