@@ -39,3 +39,19 @@ def test_many_rows_of_few_items_are_not_cut(spark):
     assert items.count() == 2
     rows = pairs_under_key(items, items).select(pair_weight().alias("w")).collect()
     assert [r.w for r in rows] == [10_000 * 10_000]
+
+
+def test_pairs_are_made_in_small_partitions_but_a_given_size_is_kept(spark):
+    from entitylake.operators import pairs as operator
+
+    items = operator.fold(spark.createDataFrame([("k", "a"), ("k", "b")], "key string, item string"), "key", "item")
+    before = spark.conf.get(operator.PARTITION_SETTING)
+    try:
+        spark.conf.unset(operator.PARTITION_SETTING)
+        assert operator.pairs_under_key(items, items).count() == 1
+        assert spark.conf.get(operator.PARTITION_SETTING) == f"{16 << 20}b"
+        spark.conf.set(operator.PARTITION_SETTING, "1m")
+        operator.pairs_under_key(items, items)
+        assert spark.conf.get(operator.PARTITION_SETTING) == "1m"
+    finally:
+        spark.conf.set(operator.PARTITION_SETTING, before)
