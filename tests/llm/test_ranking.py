@@ -45,6 +45,35 @@ def test_repeated_ids_do_not_multiply_what_reaches_the_driver(spark, monkeypatch
     assert 0.5 * good < more < 1.5 * good and same == bad
 
 
+def test_all_labelled_texts_are_fitted(spark):
+    """Whatever few texts the steps start from: the model is that of all texts, and so is the threshold."""
+    docs, labels, rows = labelled(spark, 600)
+    whole, few = ranking.fit(docs, labels), ranking.fit(docs, labels, labelled=5)
+    assert np.allclose(whole.weights, few.weights, atol=1e-4)
+    assert np.array_equal(whole.mean, few.mean) and np.array_equal(whole.deviation, few.deviation)
+    assert abs(whole.cut - few.cut) < 1e-3
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 and r[0] != 5]
+    raw = [r[1].encode() for r in known]
+    x = ranking.features(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(x.mean(axis=0), few.mean, atol=0.02)
+
+
+def test_threshold_of_many_scores(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "FEW_SCORES", 3)
+    monkeypatch.setattr(ranking, "BINS", 7)
+    random = np.random.default_rng(2)
+    values = np.concatenate([random.normal(size=300), np.full(40, -0.7)])
+    rows = spark.createDataFrame([([float(v)], int(v > 0.1)) for v in values], "x array<double>, quality int")
+    n = {q: int(np.sum((values > 0.1) == q)) for q in (0, 1)}
+    for share in (0.05, 0.3, 0.9):
+        weight = np.where(values > 0.1, (1 - share) / n[1], share / n[0])
+        order = np.argsort(values)
+        found = values[order][np.searchsorted(np.cumsum(weight[order]), share * (1 - 1e-9))]
+        above = values[values > found]
+        got = ranking._cut(rows, lambda x: x[:, 0], n, share)
+        assert got == (found + (above.min() if len(above) else found)) / 2
+
+
 def test_bradley_terry_orders_pairs():
     random = np.random.default_rng(3)
     true = np.array([2.0, -1.0, 0.0])
