@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entitylake.functions.measures import down, up
-from entitylake.operators.pairs import fold, in_keys, pairs_under_key
+from entitylake.operators.pairs import fold, in_keys, item_pairs, pairs_under_key
 from entitylake.operators.top_pairs import strong_sides
 from entitylake.plans.reports.common import (
     ANY,
@@ -144,9 +144,9 @@ def related_entities(tables: ReportTables, *, entity_type: str = ANY, prune: boo
     """The twenty pairs of entities found together in most articles, in two at least."""
     mentions = keep(tables.mentions, is_one_of("entity_type", entity_type))
     items = fold(mentions, "source_uri", "entity_name")
-    items, others = strong_sides(items, least=2, best=20) if prune else [in_keys(items, 2)] * 2
+    pairs = pairs_under_key(*strong_sides(items, least=2, best=20), weighted=False) if prune else item_pairs(in_keys(items, 2))
     return (
-        pairs_under_key(items, others, weighted=False)
+        pairs
         # One row per article and pair, so counting rows counts articles.
         .groupBy(F.col("one.item").alias("entity1"), F.col("two.item").alias("entity2"))
         .agg(F.count(F.lit(1)).alias("co_occurrence_count"))

@@ -5,7 +5,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from entitylake.operators.pairs import fold, pair_weight, pairs_under_key
+from entitylake.operators.pairs import fold, in_keys, item_pairs, pair_weight, pairs_under_key
 
 
 def expected(rows):
@@ -32,6 +32,24 @@ def test_row_pairs_with_a_hot_key(spark, options):
     assert got == expected(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 3}, {"chunk_rows": 1}])
+def test_pairs_from_lists_with_a_hot_key(spark, options):
+    rng = random.Random(4)
+    rows = {(f"k{rng.randint(0, 6)}", f"e{rng.randint(0, 8)}") for _ in range(60)}
+    rows |= {("hot", f"e{i}") for i in range(30)} | {("one", "e1")}
+    items = fold(spark.createDataFrame(sorted(rows) * 2, "k string, e string"), "k", "e")
+    pairs = item_pairs(items, **options)
+    got = pairs.groupBy(F.col("one.item").alias("a"), F.col("two.item").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.a, r.b): r.n for r in got} == expected(rows)
+
+
+def test_items_in_few_keys_are_left_out_without_a_shuffle_of_all_rows(spark):
+    rows = [("k1", "a"), ("k1", "a"), ("k1", "b"), ("k2", "b")]
+    often = in_keys(fold(spark.createDataFrame(rows, "k string, e string"), "k", "e"), 2)
+    assert sorted((r.key, r.item) for r in often.collect()) == [("k1", "b"), ("k2", "b")]
+    assert "distinct" not in often._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_many_rows_of_few_items_are_not_cut(spark):
     """A heavy key of two items is two folded rows, however many rows it had."""
     df = spark.range(20_000).select(F.lit("k").alias("k"), F.concat(F.lit("e"), F.col("id") % 2).alias("e"))
