@@ -350,6 +350,12 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return ends.filter(F.col("cu") != F.col("cv")).select(*pairs.columns)
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) with more links. Components are stars already, so only what new links join takes further rounds."""
+    stars = comps.filter(F.col("node") != F.col("component")).select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return stored(components(stars.unionByName(links.select("u", "v"))))
+
+
 def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
     """(node, component) of all classes that have a link."""
     keyed = classes.select("node", "mark").mapInArrow(_mapped(_chunk_keys, p), "key long, node long")
@@ -367,8 +373,7 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
     )
     links = confirmer.confirm(best.select(F.col("best.partner").alias("u"), F.col("node").alias("v")))
     comps = stored(components(links))
-    links = links.unionByName(confirmer.confirm(_between(near, comps)))
-    comps = stored(components(links))
+    comps = _joined(comps, confirmer.confirm(_between(near, comps)))
     # Members that the first pivot leaves apart get another one, in their buckets only.
     open_members = large
     for _ in range(PIVOT_ROUNDS - 1):
@@ -378,8 +383,7 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
         pivots = stored(open_members.groupBy("key").agg(F.min("node").alias("pivot")))
         near = stored(_with_marks(_between(_ordered(_pivot_pairs(open_members, pivots)), comps), classes, p))
         confirmer.add(near)
-        links = links.unionByName(confirmer.confirm(near))
-        comps = stored(components(links))
+        comps = _joined(comps, confirmer.confirm(near))
     large = large.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parted = large.groupBy("key").agg(
         F.min("component").alias("x"), F.max("component").alias("y"), F.min("node").alias("first")
@@ -396,7 +400,7 @@ def class_components(docs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
         .join(classes.select("node", "n_shingles"), "node")
     )
     confirmer.add(rest.select(F.col("node").alias("u"), F.col("node").alias("v")))
-    return stored(components(links.unionByName(_grid_links(rest, confirmer.sets, p))))
+    return _joined(comps, _grid_links(rest, confirmer.sets, p))
 
 
 def near_duplicates(docs: DataFrame, p: Plan) -> DataFrame:

@@ -81,3 +81,17 @@ def test_components_of_chains_stars_and_rings(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_more_links_are_joined_to_the_components_found(spark, monkeypatch):
+    """What goes into the next rounds are stars of components and new links, not all links once more."""
+    from entitylake.llm import near_dup
+    from entitylake.llm.components import components
+
+    chain = [(i, i + 1) for i in range(40) if i != 20]
+    comps = components(spark.createDataFrame(chain, "u long, v long")).localCheckpoint()
+    given = []
+    monkeypatch.setattr(near_dup, "components", lambda links: given.append(links.collect()) or components(links))
+    got = near_dup._joined(comps, spark.createDataFrame([(20, 21), (50, 51)], "u long, v long")).collect()
+    assert {r.node: r.component for r in got} == {**{i: 0 for i in range(41)}, 50: 50, 51: 50}
+    assert len(got) == 43 and len(given[0]) == 39 + 2 and {r.v for r in given[0]} == {0, 21, 51}
