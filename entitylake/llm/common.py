@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, sort: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, sort: list[str] | None = None, path: str | None = None) -> DataFrame:
     """The frame written as a table in the shared folder and read again: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table"
+    path = path or f"{shared_folder(spark)}/table"
     (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def emptied(spark: SparkSession, *paths: str) -> None:
+    """Empty tables take the place of those in ``paths``, which nothing reads any more."""
+    for path in paths:
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind when they end; the session's setting comes back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def stored_rows(df: DataFrame, row_bytes: int) -> tuple[DataFrame, bool]:
     """As ``stored``, and whether the rows, at that many bytes each, may be broadcast."""
     table = stored(df)

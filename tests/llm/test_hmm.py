@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from entitylake.llm import hmm
+from entitylake.llm import common, hmm
 from tests.llm.tables import awkward_rows, documents, lower, prose, words
 
 
@@ -165,6 +167,45 @@ def test_rounds_are_baum_welch_over_single_words(spark):
     assert checked >= len(known)
 
 
+def test_rounds_leave_one_table_of_blocks_and_one_of_sums(spark, tmp_path, monkeypatch):
+    """Superseded tables are empty, so disk does not grow with the rounds, and the scores can still be read."""
+    docs = documents(spark, [(i, prose(i % 9, 40), "en", "s", 1) for i in range(40)]).repartition(3)
+    folders = (f"file://{tmp_path}/{n}" for n in itertools.count())
+    for module in (common, hmm):
+        monkeypatch.setattr(module, "shared_folder", lambda _: next(folders))
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    scores = hmm.score_documents(docs, 3, 3)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    rows = Counter()
+    for file in tmp_path.rglob("*.parquet"):
+        rows[file.relative_to(tmp_path).parts[1]] += pq.ParquetFile(file).metadata.num_rows
+    assert sorted(+rows) == ["sums", "table"]
+    assert scores.count() == 40
+
+
+def test_rows_of_a_block_share_its_words(monkeypatch):
+    texts = [" ".join(prose(i % 9, 30).split()) for i in range(30)]
+    batch = lambda a, z: pa.RecordBatch.from_pydict({"doc_id": list(range(a, z)), "text": texts[a:z], "held_out": [i % 5 == 1 for i in range(a, z)]})
+    parts = [hmm._part(batch(a, a + 10)) for a in (0, 10, 20)]
+    whole = next(iter(hmm._block(parts)))
+    monkeypatch.setattr(hmm, "ROW_TOKENS", 1)
+    rows = list(hmm._block(parts))
+    assert len(rows) == 3 and [r.column("place")[0].as_py() for r in rows] == [0, 1, 2]
+    assert rows[0].column("words") == whole.column("words") and rows[0].column("trained") == whole.column("trained")
+    assert all(len(r.column("words")[0]) == 0 for r in rows[1:])
+    tokens = np.concatenate([hmm._unpacked(r.column("tokens")[0].as_py()) for r in rows])
+    assert np.array_equal(tokens, hmm._unpacked(whole.column("tokens")[0].as_py()))
+    spelled = whole.column("words")[0].values.to_numpy()[tokens]
+    assert np.array_equal(spelled, hashes_of([w for t in texts for w in words(lower(t))]))
+    assert sum((r.column("doc_ids")[0].as_py() for r in rows), []) == list(range(30))
+
+
+def test_packed_counts_come_back_to_the_bit():
+    counts = np.concatenate([np.random.default_rng(1).random(700) ** 9, [0.0, 1e-300, 5e-324, 123456789.125, 1.0]])
+    assert np.array_equal(hmm._unpacked_counts(hmm._packed_counts(counts)), counts)
+    assert not len(hmm._unpacked_counts(hmm._packed_counts(counts[:0])))
+
+
 def test_counts_of_a_block_of_very_many_words(spark):
     size = (1 << 23) + 2
     blocks = spark.range(1, numPartitions=1).select(
