@@ -89,6 +89,53 @@ def test_long_and_short_texts_of_two_tables(spark, threshold, options):
     assert got == matches(left, right, threshold)
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of a collected frame wrote, those that are read again once."""
+    written = {}
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if kind == "ReusedExchangeExec":
+            return walk(plan.child())
+        if kind == "ShuffleExchangeExec":
+            written[plan.id()] = plan.metrics().apply("shuffleRecordsWritten").value()
+        children = plan.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(written.values())
+
+
+def test_texts_of_the_larger_side_are_shuffled_once_to_be_different_and_once_to_their_cell(spark):
+    rng = random.Random(8)
+
+    def some(count, length):
+        return ["".join(rng.choice("abcdefghijkl") for _ in range(length)) for _ in range(count)]
+
+    left = some(4, 100)
+    right = [*left, *some(500, 105), *some(500, 300), *some(500, 20), ""]  # 1,001 of them have no partner of their length
+    found = similar_texts(frame(spark, left), frame(spark, right), "t")
+    assert pairs(found) == {(t, t): 100.0 for t in left}
+    assert 2 * 504 <= shuffled_rows(found) < 2 * 504 + 200
+
+
+def test_equal_texts_of_all_lengths(spark):
+    left = ["", "a", "b" * 64, "b" * 65, "c" * 5000, "d" * 40]
+    right = ["", "", "a", "b" * 64, "b" * 66, "c" * 5000, "e" * 40, "f" * 9000]
+    got = pairs(similar_texts(frame(spark, left), frame(spark, right), "t"))
+    assert got.keys() == {(t, t) for t in ("", "a", "b" * 64, "c" * 5000)} | {
+        ("b" * n, "b" * m) for n, m in ((64, 66), (65, 64), (65, 66))
+    }
+    assert all(score == 100.0 for (a, b), score in got.items() if a == b)
+    assert pairs(similar_texts(frame(spark, left), frame(spark, []), "t")) == {}
+    assert pairs(similar_texts(frame(spark, []), frame(spark, right), "t")) == {}
+
+
 def test_long_texts_without_rare_tokens(spark):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefghijkl") for _ in range(100)) for _ in range(120)]
